@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from geostrata.llm import decontamination, packing, secrets, sharding, token_counts
+from geostrata.llm import decontamination, language_id, packing, quality_classifier, secrets, sharding, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        language_id.op1_language_id,
         sharding.op2_sharding,
+        simhash.op3_simhash,
         token_counts.op4_token_counts,
         packing.op7_packing,
         decontamination.op8_decontamination,
         secrets.op9_secrets,
+        quality_classifier.op10_quality_classifier,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
