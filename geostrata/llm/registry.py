@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from geostrata.llm import decontamination, language_id, packing, quality_classifier, secrets, sharding, simhash, token_counts
+from geostrata.llm import decontamination, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sharding.op2_sharding,
         simhash.op3_simhash,
         token_counts.op4_token_counts,
+        quality_rules.op5_quality_rules,
         packing.op7_packing,
         decontamination.op8_decontamination,
         secrets.op9_secrets,
