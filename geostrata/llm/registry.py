@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from geostrata.llm import decontamination, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts
+from geostrata.llm import decontamination, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         simhash.op3_simhash,
         token_counts.op4_token_counts,
         quality_rules.op5_quality_rules,
+        suffix_dedup.op6_suffix_dedup,
         packing.op7_packing,
         decontamination.op8_decontamination,
         secrets.op9_secrets,
