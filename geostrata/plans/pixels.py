@@ -166,7 +166,7 @@ def roc_auc(spark, d):
 @query(f"""WITH {POINTS}, m AS (SELECT lang, count(*) FILTER (actual AND score > 1000) AS tp, count(*) FILTER (NOT actual AND score > 1000) AS fp,
  count(*) FILTER (actual AND score <= 1000) AS fn, count(*) FILTER (NOT actual AND score <= 1000) AS tn FROM points GROUP BY lang),
 r AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / power(tp + fp + fn + tn, 2) AS pe FROM m)
-SELECT lang, tp, fp, fn, tn, round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa, round(tp / nullif(tp + fn, 0), 6) AS producers, round(tp / nullif(tp + fp, 0), 6) AS users FROM r""")
+SELECT lang, tp, fp, fn, tn, round(po, 6) AS accuracy, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa, round(tp / nullif(tp + fn, 0), 6) AS producers, round(tp / nullif(tp + fp, 0), 6) AS users FROM r""")
 def confusion_kappa(spark, d):
     found = H.confusion(_points(spark, d), ["lang"], F.col("actual"), F.col("score") > 1000)
     return found.withColumns({c: F.round(c, 6) for c in ("accuracy", "kappa", "producers", "users")})

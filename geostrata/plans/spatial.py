@@ -106,11 +106,11 @@ def reproject_albers(spark, d):
     return _points(spark, d).select("o_orderkey", F.round(at["x"], 3).alias("ax"), F.round(at["y"], 3).alias("ay"))
 
 
-@query(f"WITH {POINTS_SQL}, r AS (SELECT p_partkey % 40 AS px, p_partkey // 40 AS py, p_retailprice AS v FROM part WHERE p_partkey < 1600) SELECT o_orderkey, v FROM points LEFT JOIN r ON px = CAST(floor(x / 2) AS BIGINT) AND py = CAST(floor(y / 2) AS BIGINT)")
+@query(f"WITH {POINTS_SQL}, r AS (SELECT p_partkey % 40 AS px, p_partkey // 40 AS py, p_retailprice AS v FROM part) SELECT o_orderkey, v FROM points LEFT JOIN r ON px = CAST(floor(x / 2) AS BIGINT) AND py = CAST(floor(y / 2) AS BIGINT)")
 def point_sample_raster(spark, d):
     k = F.col("p_partkey")
-    raster = t(spark, d, "part").where("p_partkey < 1600").select((k % 40).alias("px"), F.floor(k / 40).alias("py"), F.col("p_retailprice").alias("v"))
-    return P.sample_raster(_points(spark, d), raster, 2.0, 40, 40, "v").select("o_orderkey", "v")
+    raster = t(spark, d, "part").select((k % 40).alias("px"), F.floor(k / 40).alias("py"), F.col("p_retailprice").alias("v"))
+    return P.sample_raster(_points(spark, d), raster, 2.0, 40, 50, "v").select("o_orderkey", "v")
 
 
 @query(f"WITH {POINTS_SQL} SELECT o_orderkey, x, y FROM points WHERE x BETWEEN 20 AND 40 AND y BETWEEN 10 AND 30 ORDER BY o_orderkey LIMIT 50")
@@ -138,8 +138,9 @@ def _labelled(spark, d):
     return C.components(cells, tile=16)
 
 
-LABELS = COMPOSITE + """, cells AS (SELECT user_id AS x, CAST(day AS BIGINT) AS y, user_id * 1000 + day AS id FROM composite WHERE value > 60),
-steps AS (SELECT a.id, b.id AS other FROM cells a JOIN cells b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1),
+LABELS = COMPOSITE + """, cells AS MATERIALIZED (SELECT user_id AS x, CAST(day AS BIGINT) AS y, user_id * 1000 + day AS id FROM composite WHERE value > 60),
+around AS (SELECT id, id + dx * 1000 + dy AS other FROM cells, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+steps AS MATERIALIZED (SELECT a.id, a.other FROM around a JOIN cells b ON b.id = a.other),
 reach AS (SELECT id, id AS root FROM cells UNION SELECT s.other, r.root FROM reach r JOIN steps s ON s.id = r.id),
 labels AS (SELECT id, min(root) AS label FROM reach GROUP BY id), labelled AS (SELECT x, y, label FROM cells JOIN labels USING (id))"""
 
@@ -165,7 +166,7 @@ def component_polygons(spark, d):
 def _combs(spark, d):
     """(o, ux, uy, vx, vy, w), and for lines the chains' points."""
     k, q = F.col("l_linenumber"), F.col("l_quantity") / 4
-    lines = t(spark, d, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("o"), k.alias("k")).agg(F.max(q).alias("q"))
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), k.alias("k")).agg(F.max(q).alias("q"))
     ranked = lines.select("o", F.explode(F.array(F.struct(F.lit(0).alias("kind"), (F.col("k") * 24).cast("double").alias("ux"), F.lit(0.0).alias("uy"), (F.col("k") * 24).cast("double").alias("vx"), F.col("q").alias("vy")))).alias("e")).select("o", "e.*")
     chain = lines.alias("a").join(lines.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("b.k") == F.col("a.k") + 1))
     chain = chain.select(F.col("a.o").alias("o"), F.lit(1).alias("kind"), (F.col("a.k") * 24).cast("double").alias("ux"), F.lit(0.0).alias("uy"), (F.col("b.k") * 24).cast("double").alias("vx"), F.lit(0.0).alias("vy"))
@@ -173,7 +174,7 @@ def _combs(spark, d):
     return both.select("o", "ux", "uy", "vx", "vy", F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")).alias("w"))
 
 
-COMBS = """lines AS (SELECT l_orderkey AS o, l_linenumber AS k, max(l_quantity) / 4 AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2),
+COMBS = """lines AS (SELECT l_orderkey AS o, l_linenumber AS k, max(l_quantity) / 4 AS q FROM lineitem GROUP BY 1, 2),
 chain AS (SELECT a.o, a.k FROM lines a JOIN lines b ON a.o = b.o AND b.k = a.k + 1),
 spurs AS (SELECT o, k, q, (EXISTS (SELECT 1 FROM chain c WHERE c.o = l.o AND c.k = l.k))::INT AS after, (EXISTS (SELECT 1 FROM chain c WHERE c.o = l.o AND c.k = l.k - 1))::INT AS before FROM lines l)"""
 
@@ -187,16 +188,18 @@ def spur_prune(spark, d):
 tips AS (SELECT s.o, s.k, s.q FROM spurs s WHERE after + before = 1),
 found AS (SELECT j.o, s.q AS w FROM joints j JOIN spurs s ON s.o = j.o AND s.k = j.k UNION ALL
  SELECT a.o, 24 FROM joints a JOIN joints b ON a.o = b.o AND b.k = a.k + 1 UNION ALL
- SELECT t.o, t.q + 24 FROM tips t JOIN joints j ON j.o = t.o AND abs(j.k - t.k) = 1)
-SELECT o, count(*) AS n, round(sum(w), 6) AS length FROM found WHERE w >= 20 GROUP BY o""")
+ SELECT t.o, t.q + 24 FROM tips t JOIN joints j ON j.o = t.o AND abs(j.k - t.k) = 1 UNION ALL
+ SELECT a.o, a.q + 24 + b.q FROM tips a JOIN tips b ON a.o = b.o AND b.k = a.k + 1)
+SELECT o, count(*) AS n, round(sum(w), 6) AS length FROM found WHERE w >= 20 AND o IN (SELECT o FROM joints) GROUP BY o""")
 def branch_split(spark, d):
     """Of combs with a joint; the others are one branch each."""
     found = L.split_branches(_combs(spark, d), "o")
-    joined = _combs(spark, d).groupBy("o").agg(F.count("*").alias("e")).where("e > 3").select("o")
+    ends = _combs(spark, d).where("vy = 0").select("o", F.explode(F.array("ux", "vx")).alias("x"))
+    joined = ends.groupBy("o", "x").agg(F.count("*").alias("n")).where("n = 2").select("o").distinct()
     return found.join(joined, "o", "left_semi").groupBy("o").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"))
 
 
-@query("""WITH RECURSIVE steps AS (SELECT o_custkey AS c, row_number() OVER w AS k, (o_orderkey % 50 + 1)::DOUBLE AS s FROM orders WHERE o_custkey % 10 = 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+@query("""WITH RECURSIVE steps AS (SELECT o_custkey AS c, row_number() OVER w AS k, (o_orderkey % 50 + 1)::DOUBLE AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 totals AS (SELECT c, sum(s) AS total, max(k) AS last FROM steps GROUP BY c),
 shares AS (SELECT c, total, last, total / greatest(1, ceil(total / 100) - CASE WHEN total % 100 < 50 AND ceil(total / 100) > 1 THEN 1 ELSE 0 END) AS share FROM totals WHERE total > 150),
 run AS (SELECT c, 0::BIGINT AS k, 0::DOUBLE AS run, 0 AS seg, 0::DOUBLE AS s, FALSE AS cut FROM shares UNION ALL
@@ -205,7 +208,7 @@ SELECT c, CAST(seg AS INTEGER) AS segment, round(sum(s), 6) AS segment_length FR
 def line_segments(spark, d):
     """Lines straight along x, a step an order."""
     steps = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: (k % 50 + 1).cast("double"))
-    lines = t(spark, d, "orders").where("o_custkey % 10 = 0").groupBy(F.col("o_custkey").alias("c")).agg(steps.alias("steps"))
+    lines = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(steps.alias("steps"))
     ends = F.aggregate("steps", F.array(F.lit(0.0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
     lines = lines.select("c", F.transform(ends, lambda x: G.point(x, F.lit(0.0))).alias("line"))
     return L.cut_lines(lines, "line").select("c", "segment", F.round("segment_length", 6).alias("segment_length"))
