@@ -53,7 +53,7 @@ class Model:
         self.gram_rows = {n: self._rows(list(found.values())) for n, found in grams.items()}
 
     def _rows(self, counts: list[dict[str, int]]) -> np.ndarray:
-        n = np.array([[c.get(lang, 0) for lang in self.languages] for c in counts], float).reshape(-1, len(self.languages))
+        n = np.array([[c.get(lang, 0) for lang in self.languages] for c in counts], float).reshape(len(counts), len(self.languages))
         rows = np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(n) + 1)))
         return (rows - rows.max(1, keepdims=True, initial=-np.inf)).astype(np.float32)
 
