@@ -47,38 +47,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
-def without(text: Column, characters: str) -> Column:
-    """Code points of text that are none of characters."""
-    return F.char_length(F.translate(text, characters, ""))
+#: Stand-ins for the characters of each of CLASSES but the last; a text's own control characters of these codes count as the rest.
+MARKERS = "\x01\x02\x03\x04\x05"
 
 
-def class_counts(text: Column, size: Column) -> list[Column]:
-    """Code points of each of CLASSES but the last."""
-    return [size - without(text, x) for x in (WHITE, SYMBOLS, DIGITS, CAPITALS, MARKS)]
+def class_counts(text: Column) -> Column:
+    """An array of the code points of each of CLASSES but the last: one pass marks the classes, then each mark's bytes are counted."""
+    groups = (WHITE, SYMBOLS, DIGITS, CAPITALS, MARKS)
+    marked = F.translate(text, MARKERS + "".join(groups), "r" * len(MARKERS) + "".join(m * len(g) for m, g in zip(MARKERS, groups, strict=True)))
+    return let(marked, lambda t: F.array(*[F.octet_length(t) - F.octet_length(F.replace(t, F.lit(m), F.lit(""))) for m in MARKERS]))
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words stand in a 3-word window that the text has twice or more."""
+    """How many words stand in a 3-word window that the text has twice or more; windows are told apart by 64-bit hashes."""
 
-    def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("text"), i.alias("at")))
-
-        def covered(found: Column) -> Column:
-            alike = F.filter(found, lambda x, k: F.coalesce(x["text"] == F.get(found, k - 1)["text"], F.lit(False)) | F.coalesce(x["text"] == F.get(found, k + 1)["text"], F.lit(False)))
+    def covered(hashes: Column) -> Column:
+        def of(found: Column) -> Column:
+            alike = F.filter(found, lambda x, k: F.coalesce(x["h"] == F.get(found, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(found, k + 1)["h"], F.lit(False)))
             zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
             step = lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n"))
-            return F.aggregate(F.sort_array(F.transform(alike, lambda x: x["at"])), zero, step)["n"]
+            return F.aggregate(F.array_sort(F.transform(alike, lambda x: x["at"])), zero, step)["n"]
 
-        distinct = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["text"])))
-        counted = let(windows, lambda x: F.when(distinct(x) == F.size(x), 0).otherwise(let(F.sort_array(x), covered)))
-        return F.when(F.size(w) < 3, 0).otherwise(counted)
+        return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), of)
+
+    def of(w: Column) -> Column:
+        hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
 
     return let(words, of)
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    return let(F.filter(F.split(text, "\n"), lambda x: without(x, WHITE) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return let(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def js_distance(p: list[Column], q: tuple[float, ...]) -> Column:
@@ -96,8 +97,8 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", common_wor
     Ties go to the lesser language and word. What reaches the driver is most_languages * common_words rows.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sized = known.select("lang", "text", F.char_length("text").alias("size"))
-    sums = sized.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), *[F.sum(c).alias(f"c{k}") for k, c in enumerate(class_counts(F.col("text"), F.col("size")))])
+    sized = known.select("lang", F.char_length("text").alias("size"), F.size(words_of(F.col("text"))).alias("n"), class_counts(F.col("text")).alias("classes"))
+    sums = sized.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) - 1)])
     chosen = sums.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
     if not chosen:
         return []
@@ -107,12 +108,11 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", common_wor
     top: dict[str, list] = {}
     for r in ranked.collect():
         top.setdefault(r.lang, []).append((r["rank"], r.word, r.n))
-    totals = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(F.size(words_of(F.col("text")))).alias("n")).collect()}
     found = []
     for r in chosen:
         seen = [r[f"c{k}"] for k in range(len(CLASSES) - 1)]
         words = sorted(top.get(r.lang, []))
-        shares = [n / totals[r.lang] for _, _, n in words]
+        shares = [n / r.n for _, _, n in words]
         found.append(Reference(r.lang, tuple(n / max(r["size"], 1) for n in [*seen, r["size"] - sum(seen)]), tuple(w for _, w, _ in words), (*shares, max(0.0, 1 - sum(shares)))))
     return found
 
@@ -123,9 +123,8 @@ def measured(df: DataFrame, found: list[Reference], text: str = "text", key: str
     own = df.select(df[key].alias("key"), df[text].cast("string").alias("text")).select("key", content.alias("text"), F.char_length(content).alias("size"), words_of(content).alias("words"))
     union = sorted({w for r in found for w in r.words})
     common = F.transform(F.filter("words", lambda w: F.lower(w).isin(union)), F.lower) if union else F.array().cast("array<string>")
-    classes = class_counts(F.col("text"), F.col("size"))
     step = own.select(
-        "key", "size", F.size("words").alias("n_words"), F.array(*classes).alias("classes"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
+        "key", "size", F.size("words").alias("n_words"), class_counts(F.col("text")).alias("classes"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"), common.alias("common"),
     )
     step = step.withColumn("of_word", F.array(*[F.size("common") - F.size(F.array_remove("common", F.lit(w))) for w in union]).cast("array<int>"))
