@@ -66,9 +66,9 @@ def repeated_words(words: Column) -> Column:
             alike = F.filter(found, lambda x, k: F.coalesce(x["h"] == F.get(found, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(found, k + 1)["h"], F.lit(False)))
             zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
             step = lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n"))
-            return F.aggregate(F.array_sort(F.transform(alike, lambda x: x["at"])), zero, step)["n"]
+            return F.aggregate(F.sort_array(F.transform(alike, lambda x: x["at"])), zero, step)["n"]
 
-        return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), of)
+        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), of)
 
     def of(w: Column) -> Column:
         hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
