@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL has neither the vocabulary nor the models; tests hold run() against brute force.
+#: SQL has neither the vocabulary nor the models; tests hold what each stage promises.
 ORACLE_SQL = None
 
 
