@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,8 +24,8 @@ from geostrata.llm.common import map_slices, read_table, with_fields
 
 MAX_LEN = 4096
 END_ID = 2
-#: Words whose ids a worker remembers; at more, it forgets all and starts anew.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, from one task to the next (some 200 MB); at more, it forgets all and starts anew.
+REMEMBERED = 1_000_000
 
 #: The vocabulary's pre-tokenizer pattern (fixed value), for lower-case texts of PLAIN only.
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -71,8 +72,14 @@ class WordIds:
         return [self._whole(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """This worker's words; only the latest vocabulary's are kept."""
+    return WordIds(path)
+
+
 def _packer(path: str, max_len: int, end_id: int, with_ids: bool):
-    coder, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+    coder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
 
     def apply(keys, texts):
         row, start, length, crc, total, ids = [], [], [], [], [], []
