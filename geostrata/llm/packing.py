@@ -9,6 +9,7 @@ leave the task that tokenized the document.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +25,7 @@ from geostrata.llm.common import map_slices, read_table, with_fields
 
 MAX_LEN = 4096
 END_ID = 2
-#: Words whose ids a worker remembers, from one task to the next (some 200 MB); at more, it forgets all and starts anew.
+#: Words whose ids a worker remembers, from one task of a call to the next (some 200 MB); at more, it forgets all and starts anew.
 REMEMBERED = 1_000_000
 
 #: The vocabulary's pre-tokenizer pattern (fixed value), for lower-case texts of PLAIN only.
@@ -73,13 +74,13 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """This worker's words; only the latest vocabulary's are kept."""
+def word_ids(path: str, tag: str) -> WordIds:
+    """This worker's words of one call of pack(), which tag names; only the latest call's are kept."""
     return WordIds(path)
 
 
-def _packer(path: str, max_len: int, end_id: int, with_ids: bool):
-    coder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+def _packer(path: str, tag: str, max_len: int, end_id: int, with_ids: bool):
+    coder, end = word_ids(path, tag), np.array([end_id], "<u4").tobytes()
 
     def apply(keys, texts):
         row, start, length, crc, total, ids = [], [], [], [], [], []
@@ -109,7 +110,7 @@ def pack(df: DataFrame, path: str | None = None, text: str = "text", key: str =
     differs for all rows of the result. Other columns, clashing names included, are ignored.
     """
     schema = with_fields(df.select(df[key]).schema, "start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
-    pieces = map_slices(df.select(df[key], df[text].cast("string")), schema, _packer, path or public_tokenizers.path("word_bpe_49k.json"), max_len, end_id, with_ids)
+    pieces = map_slices(df.select(df[key], df[text].cast("string")), schema, _packer, path or public_tokenizers.path("word_bpe_49k.json"), uuid.uuid4().hex, max_len, end_id, with_ids)
     own = ["ids"] if with_ids else []
     return pieces.select(
         *[c for c in pieces.columns if c != "ids"], F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
