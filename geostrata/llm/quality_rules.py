@@ -5,10 +5,15 @@ holds, for one language, the shares of character classes and of its most common
 documents of that language. A text is compared with the language whose common words it is nearest
 to, by the Jensen-Shannon distance (base 2, so 0 to 1), of the words where it has at least
 ``least_words`` of them and of the character classes where it has at least ``least_chars``.
+
+All words but the common ones are one class, so a text with none of them is no farther from a language
+than its *bare* distance, which the shares of the common words bound. Languages are therefore compared
+by the share of their bare distance, and the cut is a share of it too.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +36,10 @@ LEAST_CHARS = 100
 LEAST_WORDS = 50
 MOST_CLASS_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.45
+#: Of the distance of a text without common words, the share from which a text's words fail.
+MOST_BARE_SHARE = 0.9
+#: Common words that a text of its length must be expected to hold, for its words to be judged.
+LEAST_COMMON = 8
 
 
 @dataclass(frozen=True)
@@ -42,6 +51,12 @@ class Reference:
     words: tuple[str, ...]
     shares: tuple[float, ...]
 
+    @property
+    def bare(self) -> float:
+        """The word distance of a text with none of the common words."""
+        rest = self.shares[-1]
+        return math.sqrt(max(0.0, (1 - rest + math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest > 0 else 0.0)) / 2))
+
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_BREAK), "")
@@ -117,8 +132,8 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", common_wor
     return found
 
 
-def measured(df: DataFrame, found: list[Reference], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """For each row of df: key, the base counts, and nearest, word_distance, class_distance (null without a reference)."""
+def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_words: int, most_word_distance: float, most_bare_share: float, least_common: float) -> DataFrame:
+    """For each row of df: key, the base counts, and nearest, word_distance, words_pass, class_distance (null without a reference)."""
     content = F.coalesce(F.col("text"), F.lit(""))
     own = df.select(df[key].alias("key"), df[text].cast("string").alias("text")).select("key", content.alias("text"), F.char_length(content).alias("size"), words_of(content).alias("words"))
     union = sorted({w for r in found for w in r.words})
@@ -135,25 +150,34 @@ def measured(df: DataFrame, found: list[Reference], text: str = "text", key: str
     for r in found:
         p = [F.col("of_word")[union.index(w)] / n for w in r.words]
         rest = F.greatest(F.lit(0.0), 1 - sum(p[1:], p[0])) if p else F.lit(1.0)
-        near.append(F.struct(js_distance([*p, rest], r.shares).alias("word_distance"), F.lit(r.lang).alias("nearest"), js_distance(shares, r.classes).alias("class_distance")))
-    best = F.array_min(F.array(*near)) if near else F.lit(None).cast("struct<word_distance:double,nearest:string,class_distance:double>")
+        cut, held = most_bare_share, 1 - r.shares[-1]
+        bare_share = F.lit(1.0)
+        if r.bare > 0:
+            bare_share, cut = js_distance([*p, rest], r.shares) / F.lit(r.bare), min(cut, most_word_distance / r.bare)
+        judged_from = max(float(least_words), least_common / held) if held > 0 else math.inf
+        most = F.when(F.col("n_words") < judged_from, math.inf).otherwise(cut)
+        near.append(F.struct(bare_share.alias("bare_share"), F.lit(r.lang).alias("nearest"), js_distance(shares, r.classes).alias("class_distance"), F.lit(r.bare).alias("bare"), most.alias("most")))
+    best = F.array_min(F.array(*near)) if near else F.lit(None).cast("struct<bare_share:double,nearest:string,class_distance:double,bare:double,most:double>")
+    distance, passes = F.col("best.bare_share") * F.col("best.bare"), F.col("best.bare_share") <= F.col("best.most")
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best}).select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "best.nearest", "best.word_distance", "best.class_distance")
+    return step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best}).select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "best.nearest", distance.alias("word_distance"), passes.alias("words_pass"), "best.class_distance")
 
 
 def judge(
     df: DataFrame, found: list[Reference], text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS,
     most_word_distance: float = MOST_WORD_DISTANCE, most_class_distance: float = MOST_CLASS_DISTANCE,
+    most_bare_share: float = MOST_BARE_SHARE, least_common: float = LEAST_COMMON,
 ) -> DataFrame:
     """One row for each row of df: key, the base counts, base_failed, kept, and the distances.
 
     A null text has no words, and so fails the base rules. A text under the minimum lengths is not
-    judged by the distance in question, nor is any text without a reference. Repeated rows stay;
+    judged by the distance in question, nor is any text without a reference. The bare share counts
+    where least_common of the language's common words are expected at least. Repeated rows stay;
     other columns, clashing names included, are ignored.
     """
-    m = measured(df, found, text, key)
+    m = measured(df, found, text, key, least_words, most_word_distance, most_bare_share, least_common)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    words = (F.col("n_words") < least_words) | F.coalesce(F.col("word_distance") <= most_word_distance, F.lit(True))
+    words = F.coalesce(F.col("words_pass"), F.lit(True))
     classes = (F.col("n_chars") < least_chars) | F.coalesce(F.col("class_distance") <= most_class_distance, F.lit(True))
     own = (key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return m.select(*own, failed.alias("base_failed"), (~failed & words & classes).alias("kept"), "nearest", "word_distance", "class_distance")

@@ -128,6 +128,20 @@ def test_quality_rules_keep_most_clean_texts(docs):
     assert found.where("kept").count() > 0.85 * found.count()
 
 
+def test_quality_rules_reject_word_salad(spark, docs):
+    import random
+
+    rng = random.Random(5)
+    found = quality_rules.references(docs)
+    plain = [t for (t,) in docs.where("lang = 'en' AND n_chars > 2000").select("text").limit(5).collect()]
+    salads = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 9))) for _ in range(n)).capitalize() + "." for n in (60, 200, 1000)]
+    texts = spark.createDataFrame(list(enumerate(salads + plain)), "doc_id long, text string")
+    kept = {r.doc_id: r for r in quality_rules.judge(texts, found).collect()}
+    for k in range(len(salads)):
+        assert not kept[k].base_failed and kept[k].class_distance <= quality_rules.MOST_CLASS_DISTANCE and not kept[k].kept
+    assert sum(kept[k].kept for k in range(len(salads), len(kept))) >= len(plain) - 1
+
+
 def test_repeated_passages(docs, rows):
     starts = Counter()
     raws = [(t or "").encode() for _, t in rows]
