@@ -4,8 +4,9 @@ All of it is DataFrame expressions. The rules' matches get their positions from
 matches and of the gaps between them. Beyond the rules, every long token of credential characters is
 scored by the log-likelihood ratio of two character Markov chains, one of random strings and one of
 ordinary identifiers. The chains are fitted on labelled samples: strings that the rules found and
-generated random strings against the other tokens of a bounded sample of texts. The fitted ratio is
-a table of 68 x 68 numbers, whatever the input, and is part of the expression.
+generated random strings against the other tokens of a bounded sample of texts, and runs of one
+character. The fitted ratio is a table of 68 x 68 numbers, whatever the input, and is part of the
+expression. It alone decides, whatever characters a token has.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SAMPLE_ROWS = 5_000
 RANDOM_STRINGS = 2_000
 #: Ratio, in nats, from which a token counts as random: some e^12 times likelier.
 LEAST_RATIO = 12.0
+#: Of a character's ordinary transitions, the share that is added as runs: rules of dashes and the like.
+RUNS = 0.05
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -114,6 +117,9 @@ def fit(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> li
     counts = {True: [1.0] * STATES**2, False: [1.0] * STATES**2}
     for r in transitions(labelled_tokens(df, text, sample_rows)).collect():  # 2 * STATES ** 2 rows at most
         counts[r.random][r.step] += r.n
+    ordinary = counts[False]
+    for a in range(1, STATES):
+        ordinary[a * STATES + a] += RUNS * sum(ordinary[a * STATES : (a + 1) * STATES])
     chances = {}
     for label, n in counts.items():
         sums = [sum(n[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
@@ -135,16 +141,16 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def markov_spans(text: Column, table: list[float], least: float = LEAST_RATIO) -> Column:
-    """Spans of tokens with a letter and a digit that the chains call random."""
-    return match_spans(text, CANDIDATE, 3, lambda m: m.rlike("[A-Za-z]") & m.rlike("[0-9]") & (ratio(m, table) >= least))
+    """Spans of tokens that the chains call random."""
+    return match_spans(text, CANDIDATE, 3, lambda m: ratio(m, table) >= least)
 
 
 def with_spans(df: DataFrame, text: str, table: list[float], least: float = LEAST_RATIO) -> DataFrame:
-    """df's columns as struct ``row``, and base and all spans; markov spans that touch a base span are left out."""
+    """df's columns as struct ``row``, and base and all spans, which may overlap; markov spans within one base span, which says the same, are left out."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), base_spans(content).alias("base"), markov_spans(content, table, least).alias("markov"))
-    apart = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("row", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    more = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
+    return found.select("row", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def scan_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", table: list[float] | None = None, least: float = LEAST_RATIO) -> DataFrame:
