@@ -199,6 +199,19 @@ def branch_split(spark, d):
     return found.join(joined, "o", "left_semi").groupBy("o").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"))
 
 
+@query(f"""WITH {COMBS}, joints AS (SELECT o, k FROM spurs WHERE after + before = 2),
+tips AS (SELECT s.o, s.k, s.q FROM spurs s WHERE after + before = 1),
+found AS (SELECT j.o, s.q AS w FROM joints j JOIN spurs s ON s.o = j.o AND s.k = j.k UNION ALL
+ SELECT a.o, 24 FROM joints a JOIN joints b ON a.o = b.o AND b.k = a.k + 1 UNION ALL
+ SELECT t.o, t.q + 24 FROM tips t JOIN joints j ON j.o = t.o AND abs(j.k - t.k) = 1 UNION ALL
+ SELECT a.o, a.q + 24 + b.q FROM tips a JOIN tips b ON a.o = b.o AND b.k = a.k + 1 UNION ALL
+ SELECT o, q FROM spurs WHERE after + before = 0)
+SELECT o, count(*) AS n, round(sum(w), 6) AS length FROM found WHERE w >= 20 OR o NOT IN (SELECT o FROM joints) GROUP BY o""")
+def branch_split_all(spark, d):
+    """Of all combs; where none has a joint, each piece is a branch, whatever its length."""
+    return L.split_branches(_combs(spark, d), "o").groupBy("o").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"))
+
+
 @query("""WITH RECURSIVE steps AS (SELECT o_custkey AS c, row_number() OVER w AS k, (o_orderkey % 50 + 1)::DOUBLE AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 totals AS (SELECT c, sum(s) AS total, max(k) AS last FROM steps GROUP BY c),
 shares AS (SELECT c, total, last, total / greatest(1, ceil(total / 100) - CASE WHEN total % 100 < 50 AND ceil(total / 100) > 1 THEN 1 ELSE 0 END) AS share FROM totals WHERE total > 150),

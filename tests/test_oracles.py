@@ -45,3 +45,8 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, str(SF_DIR)).collect() is not None
+
+
+def test_branches_of_every_order(spark, duck):
+    found = {r.o for r in catalog.QUERIES["branch_split_all"](spark, str(SF_DIR)).collect()}
+    assert found == {o for (o,) in duck.execute("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()}
