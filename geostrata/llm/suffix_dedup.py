@@ -16,7 +16,7 @@ built where repeats can be, in parts of bounded size:
 4. A key with more than BLOCK contexts (a passage in very many texts) is dealt by the hash of each
    window instead, with counts combined before the shuffle, so that no task gets the whole key.
 
-Nothing is capped or sampled, and matches never cross documents. Texts are shuffled twice,
+The result is the spans that go; maximal repeats are kept within an array only. Nothing is capped or sampled, and matches never cross documents. Texts are shuffled twice,
 compressed, to fetch contexts and to cut. Hashes have 64 bits, and contexts count as equal only if
 both their own and their gram's agree.
 """
