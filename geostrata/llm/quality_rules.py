@@ -132,14 +132,15 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", common_wor
     return found
 
 
-def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_words: int, most_word_distance: float, most_bare_share: float, least_common: float) -> DataFrame:
-    """For each row of df: key, the base counts, and nearest, word_distance, words_pass, class_distance (null without a reference)."""
+def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_words: int, most_word_distance: float, most_bare_share: float, least_common: float, lang: str | None) -> DataFrame:
+    """For each row of df: key, the base counts, unknown (its lang has no reference), and nearest, word_distance, words_pass, class_distance (null without a reference)."""
     content = F.coalesce(F.col("text"), F.lit(""))
-    own = df.select(df[key].alias("key"), df[text].cast("string").alias("text")).select("key", content.alias("text"), F.char_length(content).alias("size"), words_of(content).alias("words"))
+    unknown = F.coalesce(~df[lang].cast("string").isin([r.lang for r in found]), F.lit(False)) if lang in df.columns else F.lit(False)
+    own = df.select(df[key].alias("key"), df[text].cast("string").alias("text"), unknown.alias("unknown")).select("key", "unknown", content.alias("text"), F.char_length(content).alias("size"), words_of(content).alias("words"))
     union = sorted({w for r in found for w in r.words})
     common = F.transform(F.filter("words", lambda w: F.lower(w).isin(union)), F.lower) if union else F.array().cast("array<string>")
     step = own.select(
-        "key", "size", F.size("words").alias("n_words"), class_counts(F.col("text")).alias("classes"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
+        "key", "unknown", "size", F.size("words").alias("n_words"), class_counts(F.col("text")).alias("classes"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"), common.alias("common"),
     )
     step = step.withColumn("of_word", F.array(*[F.size("common") - F.size(F.array_remove("common", F.lit(w))) for w in union]).cast("array<int>"))
@@ -160,27 +161,28 @@ def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_w
     best = F.array_min(F.array(*near)) if near else F.lit(None).cast("struct<bare_share:double,nearest:string,class_distance:double,bare:double,most:double>")
     distance, passes = F.col("best.bare_share") * F.col("best.bare"), F.col("best.bare_share") <= F.col("best.most")
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best}).select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "best.nearest", distance.alias("word_distance"), passes.alias("words_pass"), "best.class_distance")
+    return step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best}).select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "unknown", "best.nearest", distance.alias("word_distance"), passes.alias("words_pass"), "best.class_distance")
 
 
 def judge(
     df: DataFrame, found: list[Reference], text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS,
     most_word_distance: float = MOST_WORD_DISTANCE, most_class_distance: float = MOST_CLASS_DISTANCE,
-    most_bare_share: float = MOST_BARE_SHARE, least_common: float = LEAST_COMMON,
+    most_bare_share: float = MOST_BARE_SHARE, least_common: float = LEAST_COMMON, lang: str | None = "lang",
 ) -> DataFrame:
     """One row for each row of df: key, the base counts, base_failed, kept, and the distances.
 
     A null text has no words, and so fails the base rules. A text under the minimum lengths is not
-    judged by the distance in question, nor is any text without a reference. The bare share counts
+    judged by the distance in question, nor is any text without a reference, of a lang without one
+    included (lang is used where df has it). The bare share counts
     where least_common of the language's common words are expected at least. Repeated rows stay;
     other columns, clashing names included, are ignored.
     """
-    m = measured(df, found, text, key, least_words, most_word_distance, most_bare_share, least_common)
+    m = measured(df, found, text, key, least_words, most_word_distance, most_bare_share, least_common, lang)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words = F.coalesce(F.col("words_pass"), F.lit(True))
     classes = (F.col("n_chars") < least_chars) | F.coalesce(F.col("class_distance") <= most_class_distance, F.lit(True))
     own = (key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return m.select(*own, failed.alias("base_failed"), (~failed & words & classes).alias("kept"), "nearest", "word_distance", "class_distance")
+    return m.select(*own, failed.alias("base_failed"), (~failed & (F.col("unknown") | (words & classes))).alias("kept"), "nearest", "word_distance", "class_distance")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
