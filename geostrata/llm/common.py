@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows handed to a Python function at once; texts of a slice are in memory together.
+#: Rows, and bytes of their texts, handed to a Python function at once; a row of more bytes goes alone.
 SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
 
 #: The contract's words: runs of anything but ASCII white space.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -34,10 +37,13 @@ def doc_remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one of our own only where none is named."""
+    """The checkpoint folder that the session names; one of our own only where none is named and all runs on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geostrata-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="geostrata-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -47,21 +53,71 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of the tables that written_and_reread has made and that still stand, oldest first.
+WRITTEN: list[str] = []
+
+
 def written_and_reread(df: DataFrame) -> DataFrame:
-    """df by way of Parquet files in the shared folder."""
+    """df by way of Parquet files in the shared folder; they stand until drop_written."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_written(spark: SparkSession, after: int = 0, keep: int = 0) -> None:
+    """Delete the tables of WRITTEN from place ``after`` on, but for the ``keep`` latest; what reads them must be done."""
+    jvm = spark.sparkContext._jvm
+    for path in WRITTEN[after : len(WRITTEN) - keep]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        WRITTEN.remove(path)
+
+
+def hash_share(share: Column | float, *by: Column) -> Column:
+    """True for about ``share`` of the values of ``by``; the same ones however the rows are partitioned, and equal values alike."""
+    return F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema, *StructType.fromDDL(ddl)])
 
 
+def heavy_join(left: DataFrame, sized: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:
+    """left joined with sized (key, n, others) on key; n, a count of left's rows of the key, goes.
+
+    Keys with more than a ``parts``-th of all rows counted are fewer than ``parts``: those rows of sized
+    are broadcast, and a hot key's rows stay where they are. The rest are joined by a shuffle.
+    """
+    most = (sized.agg(F.sum(n)).first()[0] or 0) / parts
+    rare = sized.where(F.col(n) <= most).drop(n)
+    hot = sized.where(F.col(n) > most).drop(n).withColumn("is_hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), key, "left")
+    met = [*left.columns, *[c for c in rare.columns if c != key]]
+    return marked.where("is_hot").select(met).unionByName(marked.where("is_hot IS NULL").select(left.columns).join(rare, key).select(met))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of SLICE_ROWS rows and SLICE_BYTES bytes of text at most, one row at least."""
+    if batch.num_rows <= SLICE_ROWS and batch.nbytes <= SLICE_BYTES:
+        yield batch
+        return
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        to = min(max(to, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_slices(df: DataFrame, schema: StructType | str, make: Callable, *args) -> DataFrame:
     """Rows of df's columns through ``make(*args)``, made once a task.
 
-    The function gets one list a column, of SLICE_ROWS rows at most, and returns one list (or Arrow
+    The function gets one list a column, of the rows of a slice, and returns one list (or Arrow
     array) for each field of schema; it may return more or fewer rows than it got.
     """
     if isinstance(schema, str):
@@ -71,8 +127,8 @@ def map_slices(df: DataFrame, schema: StructType | str, make: Callable, *args) -
     def run(batches):
         apply = make(*args)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                columns = apply(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns))
+            for piece in slices(batch):
+                columns = apply(*(c.to_pylist() for c in piece.columns))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     return df.mapInArrow(run, schema)
@@ -85,8 +141,7 @@ def keep_rows(df: DataFrame, columns: Sequence[str], make: Callable, *args) -> D
     def run(batches):
         apply = make(*args)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(at, SLICE_ROWS)
+            for piece in slices(batch):
                 yield piece.filter(pa.array(apply(*(piece.column(k).to_pylist() for k in order)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from geostrata.llm.common import LOWER, SLICE_ROWS, UPPER, checkpointed, read_table
+from geostrata.llm.common import LOWER, UPPER, checkpointed, heavy_join, read_table, slices, written_and_reread
 
 SEED = 42
 SHINGLE = 3
@@ -55,8 +55,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, shingle: int = SHINGLE
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(k, SLICE_ROWS)
+            for piece in slices(batch):
                 found = np.array([fingerprint(t, shingle) for t in piece.column(at).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], schema=fields)
 
