@@ -82,7 +82,7 @@ def test_ratio_and_states(spark, table):
 
 def test_held_out_precision_and_recall(spark, table):
     strings = [r.token for r in secrets.random_strings(spark, 300, "held out").collect()]
-    for size, least in ((16, 0.97), (20, 0.99), (32, 0.999)):
+    for size, least in ((16, 0.97), (20, 0.99), (32, 0.995)):
         assert sum(ratio(x[:size], table) >= secrets.LEAST_RATIO for x in strings) >= least * len(strings)
     names = [x for x in (r.token for r in secrets.ordinary_strings(spark, 300, UNSEEN, "held out").collect()) if len(x) >= 16]
     assert len(names) > 1000 and sum(ratio(x, table) >= secrets.LEAST_RATIO for x in names) <= 0.03 * len(names)
