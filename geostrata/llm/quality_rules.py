@@ -13,6 +13,7 @@ by the share of their bare distance, and the cut is a share of it too.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import WORD_BREAK, read_table
-from geostrata.llm.secrets import let
+from geostrata.llm.secrets import let, let_all
 
+WORD = "[^\\x20\\x09-\\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
@@ -31,9 +33,9 @@ MARKS = ".,;:!?'\"()-"
 CLASSES = ("white", "symbol", "digit", "capital", "mark", "rest")
 
 COMMON_WORDS = 16
-MOST_LANGUAGES = 8
-LEAST_CHARS = 100
-LEAST_WORDS = 50
+#: The minimum lengths, in code points and words, from which a text's histograms say enough to be judged.
+LEAST_CHARS = 400
+LEAST_WORDS = 56
 MOST_CLASS_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.45
 #: Of the distance of a text without common words, the share from which a text's words fail.
@@ -74,20 +76,28 @@ def class_counts(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words stand in a 3-word window that the text has twice or more; windows are told apart by 64-bit hashes."""
+    """How many words stand in a 3-word window that the text has twice or more.
 
-    def covered(hashes: Column) -> Column:
+    Windows of unlike hashes differ; only of those whose hash is met again are the words compared.
+    """
+
+    def covered(w: Column, hashes: Column) -> Column:
         def of(found: Column) -> Column:
-            alike = F.filter(found, lambda x, k: F.coalesce(x["h"] == F.get(found, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(found, k + 1)["h"], F.lit(False)))
+            # sorted by hash: those that have an equal neighbour, then sorted by their words
+            again = F.filter(found, lambda x, k: F.coalesce(x["h"] == F.get(found, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(found, k + 1)["h"], F.lit(False)))
+            return let(F.sort_array(F.transform(again, lambda x: F.struct(F.concat_ws(" ", F.get(w, x["at"]), F.get(w, x["at"] + 1), F.get(w, x["at"] + 2)).alias("window"), x["at"].alias("at")))), alike)
+
+        def alike(found: Column) -> Column:
+            same = F.filter(found, lambda x, k: F.coalesce(x["window"] == F.get(found, k - 1)["window"], F.lit(False)) | F.coalesce(x["window"] == F.get(found, k + 1)["window"], F.lit(False)))
             zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
             step = lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n"))
-            return F.aggregate(F.sort_array(F.transform(alike, lambda x: x["at"])), zero, step)["n"]
+            return F.aggregate(F.sort_array(F.transform(same, lambda x: x["at"])), zero, step)["n"]
 
         return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), of)
 
     def of(w: Column) -> Column:
         hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(w, h)))
 
     return let(words, of)
 
@@ -97,31 +107,30 @@ def duplicate_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def js_distance(p: list[Column], q: tuple[float, ...]) -> Column:
-    """Jensen-Shannon distance of the shares p and the fixed shares q."""
-    terms = []
-    for a, b in zip(p, q, strict=True):
-        middle = (a + F.lit(b)) / 2
-        terms.append(F.when(a > 0, a * F.log2(a / middle)).otherwise(0.0) + (F.lit(b) * F.log2(F.lit(b) / middle) if b > 0 else F.lit(0.0)))
-    return F.sqrt(F.greatest(sum(terms[1:], terms[0]) / 2, F.lit(0.0)))
+def js_distance(pairs: Column) -> Column:
+    """Jensen-Shannon distance of an array of struct<p,q> of shares."""
 
+    def part(x: Column, middle: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang", common_words: int = COMMON_WORDS, most_languages: int = MOST_LANGUAGES) -> list[Reference]:
-    """Counted over all rows with a text and a lang, for the languages with most rows.
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2))
+    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
-    Ties go to the lesser language and word. What reaches the driver is most_languages * common_words rows.
+
+def references(df: DataFrame, text: str = "text", lang: str = "lang", common_words: int = COMMON_WORDS) -> list[Reference]:
+    """Counted over all rows with a text and a lang, for every language, by falling number of rows.
+
+    Ties go to the lesser language and word. What reaches the driver is common_words + 1 rows a language.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sized = known.select("lang", F.char_length("text").alias("size"), F.size(words_of(F.col("text"))).alias("n"), class_counts(F.col("text")).alias("classes"))
+    sized = known.select("lang", F.char_length("text").alias("size"), F.regexp_count("text", F.lit(WORD)).alias("n"), class_counts(F.col("text")).alias("classes"))
     sums = sized.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) - 1)])
-    chosen = sums.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
-    if not chosen:
-        return []
-    tokens = known.where(F.col("lang").isin([r.lang for r in chosen])).select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
-    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("word").rlike(r"\p{L}"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
+    chosen = sums.orderBy(F.desc("rows"), "lang").collect()
+    counts = known.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # a word without a letter is none of the common ones, but counts among all
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.when(F.col("word").rlike(r"\p{L}"), F.col("n")).desc_nulls_last(), "word"))
     top: dict[str, list] = {}
-    for r in ranked.collect():
+    for r in counts.withColumn("rank", place).where((F.col("rank") <= common_words) & F.col("word").rlike(r"\p{L}")).collect():
         top.setdefault(r.lang, []).append((r["rank"], r.word, r.n))
     found = []
     for r in chosen:
@@ -132,8 +141,17 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", common_wor
     return found
 
 
+TABLE = "array<struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>,bare:double,cut:double,judged_from:double>>"
+
+
 def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_words: int, most_word_distance: float, most_bare_share: float, least_common: float, lang: str | None) -> DataFrame:
     """For each row of df: key, the base counts, unknown (its lang has no reference), and nearest, word_distance, words_pass, class_distance (null without a reference)."""
+    rows = []
+    for r in found:
+        held = 1 - r.shares[-1]
+        cut = min(most_bare_share, most_word_distance / r.bare) if r.bare > 0 else most_bare_share
+        rows.append({"lang": r.lang, "classes": r.classes, "words": r.words, "shares": r.shares, "bare": r.bare, "cut": cut, "judged_from": max(float(least_words), least_common / held) if held > 0 else 1e300})
+    table = F.from_json(F.lit(json.dumps(rows)), TABLE)  # a constant, as long as there are languages
     content = F.coalesce(F.col("text"), F.lit(""))
     unknown = F.coalesce(~df[lang].cast("string").isin([r.lang for r in found]), F.lit(False)) if lang in df.columns else F.lit(False)
     own = df.select(df[key].alias("key"), df[text].cast("string").alias("text"), unknown.alias("unknown")).select("key", "unknown", content.alias("text"), F.char_length(content).alias("size"), words_of(content).alias("words"))
@@ -143,25 +161,25 @@ def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_w
         "key", "unknown", "size", F.size("words").alias("n_words"), class_counts(F.col("text")).alias("classes"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"), common.alias("common"),
     )
-    step = step.withColumn("of_word", F.array(*[F.size("common") - F.size(F.array_remove("common", F.lit(w))) for w in union]).cast("array<int>"))
+    step = step.withColumn("of_word", let(F.col("common"), lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda w: F.struct(w, (F.size(c) - F.size(F.array_remove(c, w))).cast("double"))))))
     n, size = F.greatest("n_words", F.lit(1)), F.greatest("size", F.lit(1))
     shares = [F.col("classes")[k] / size for k in range(len(CLASSES) - 1)]
     shares.append(F.greatest(F.lit(0.0), 1 - sum(shares[1:], shares[0])))
-    near = []
-    for r in found:
-        p = [F.col("of_word")[union.index(w)] / n for w in r.words]
-        rest = F.greatest(F.lit(0.0), 1 - sum(p[1:], p[0])) if p else F.lit(1.0)
-        cut, held = most_bare_share, 1 - r.shares[-1]
-        bare_share = F.lit(1.0)
-        if r.bare > 0:
-            bare_share, cut = js_distance([*p, rest], r.shares) / F.lit(r.bare), min(cut, most_word_distance / r.bare)
-        judged_from = max(float(least_words), least_common / held) if held > 0 else math.inf
-        most = F.when(F.col("n_words") < judged_from, math.inf).otherwise(cut)
-        near.append(F.struct(bare_share.alias("bare_share"), F.lit(r.lang).alias("nearest"), js_distance(shares, r.classes).alias("class_distance"), F.lit(r.bare).alias("bare"), most.alias("most")))
-    best = F.array_min(F.array(*near)) if near else F.lit(None).cast("struct<bare_share:double,nearest:string,class_distance:double,bare:double,most:double>")
-    distance, passes = F.col("best.bare_share") * F.col("best.bare"), F.col("best.bare_share") <= F.col("best.most")
+
+    # what a lambda refers to is bound first: the optimizer would move its making into the lambda
+    def word_distance(r: Column, of_word: Column, n: Column) -> Column:
+        own_shares = let(F.transform(r["words"], lambda w: F.coalesce(of_word[w], F.lit(0.0)) / n), lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), F.aggregate(p, F.lit(1.0), lambda s, x: s - x)))))
+        return js_distance(F.zip_with(own_shares, r["shares"], lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+
+    def nearest(of_word: Column, n: Column, n_words: Column) -> Column:
+        near = F.array_min(F.transform(table, lambda r: F.struct(F.when(r["bare"] > 0, word_distance(r, of_word, n) / r["bare"]).otherwise(1.0).alias("bare_share"), r["lang"].alias("lang"), r.alias("r"))))
+        return let(near, lambda b: F.struct(b["lang"].alias("nearest"), (b["bare_share"] * b["r"]["bare"]).alias("word_distance"), ((n_words < b["r"]["judged_from"]) | (b["bare_share"] <= b["r"]["cut"])).alias("words_pass"), b["r"]["classes"].alias("reference")))
+
+    best = let_all([F.col("of_word"), n, F.col("n_words")], nearest)
+    class_distance = js_distance(F.zip_with(F.array(*shares), F.col("best.reference"), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best}).select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "unknown", "best.nearest", distance.alias("word_distance"), passes.alias("words_pass"), "best.class_distance")
+    done = step.withColumns({"word_chars": F.col("size") - F.col("classes")[0], "n_symbols": F.col("classes")[1], "best": best})
+    return done.select(F.col("key").alias(key), *counts, F.col("size").cast("long").alias("n_chars"), "unknown", "best.nearest", "best.word_distance", "best.words_pass", class_distance.alias("class_distance"))
 
 
 def judge(
