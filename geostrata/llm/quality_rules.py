@@ -172,8 +172,8 @@ def measured(df: DataFrame, found: list[Reference], text: str, key: str, least_w
         return js_distance(F.zip_with(own_shares, r["shares"], lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
 
     def nearest(of_word: Column, n: Column, n_words: Column) -> Column:
-        near = F.array_min(F.transform(table, lambda r: F.struct(F.when(r["bare"] > 0, word_distance(r, of_word, n) / r["bare"]).otherwise(1.0).alias("bare_share"), r["lang"].alias("lang"), r.alias("r"))))
-        return let(near, lambda b: F.struct(b["lang"].alias("nearest"), (b["bare_share"] * b["r"]["bare"]).alias("word_distance"), ((n_words < b["r"]["judged_from"]) | (b["bare_share"] <= b["r"]["cut"])).alias("words_pass"), b["r"]["classes"].alias("reference")))
+        near = F.array_min(F.transform(table, lambda r: let(word_distance(r, of_word, n), lambda d: F.struct(F.when(r["bare"] > 0, F.round(d / r["bare"], 9)).otherwise(1.0).alias("bare_share"), r["lang"].alias("lang"), d.alias("d"), r.alias("r")))))
+        return let(near, lambda b: F.struct(b["lang"].alias("nearest"), b["d"].alias("word_distance"), ((n_words < b["r"]["judged_from"]) | (b["bare_share"] <= b["r"]["cut"])).alias("words_pass"), b["r"]["classes"].alias("reference")))
 
     best = let_all([F.col("of_word"), n, F.col("n_words")], nearest)
     class_distance = js_distance(F.zip_with(F.array(*shares), F.col("best.reference"), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
@@ -189,7 +189,7 @@ def judge(
 ) -> DataFrame:
     """One row for each row of df: key, the base counts, base_failed, kept, and the distances.
 
-    A null text has no words, and so fails the base rules. A text under the minimum lengths is not
+    Of languages as near, to nine digits, the lesser name is nearest. A null text has no words, and so fails the base rules. A text under the minimum lengths is not
     judged by the distance in question, nor is any text without a reference, of a lang without one
     included (lang is used where df has it). The bare share counts
     where least_common of the language's common words are expected at least. Repeated rows stay;

@@ -50,7 +50,7 @@ def plain_verdict(text, found):
         p = [count[w] / n for w in common]
         bare, held = distance([0.0] * len(common) + [1.0], shares), 1 - shares[-1]
         d = distance([*p, max(0.0, 1 - sum(p))], shares)
-        best = min(best or (math.inf,), (d / bare if bare else 1.0, lang, d, bare, held))
+        best = min(best or (math.inf,), (round(d / bare, 9) if bare else 1.0, lang, d, bare, held))
     share, lang, d, bare, held = best
     seen = classes(text)
     p = [x / max(len(text), 1) for x in seen[:-1]]
