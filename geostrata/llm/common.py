@@ -83,18 +83,19 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema, *StructType.fromDDL(ddl)])
 
 
-def heavy_join(left: DataFrame, sized: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:
-    """left joined with sized (key, n, others) on key; n, a count of left's rows of the key, goes.
+def heavy_join(left: DataFrame, sized: DataFrame, keys: str | list[str], n: str, parts: int = 1000) -> DataFrame:
+    """left joined with sized (keys, n, others) on the keys, where n counts left's rows of the keys.
 
     Keys with more than a ``parts``-th of all rows counted are fewer than ``parts``: those rows of sized
-    are broadcast, and a hot key's rows stay where they are. The rest are joined by a shuffle.
+    are broadcast, and a hot key's rows stay where they are. The rest are joined by a shuffle. left is
+    read twice.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     most = (sized.agg(F.sum(n)).first()[0] or 0) / parts
-    rare = sized.where(F.col(n) <= most).drop(n)
-    hot = sized.where(F.col(n) > most).drop(n).withColumn("is_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), key, "left")
-    met = [*left.columns, *[c for c in rare.columns if c != key]]
-    return marked.where("is_hot").select(met).unionByName(marked.where("is_hot IS NULL").select(left.columns).join(rare, key).select(met))
+    hot = sized.where(F.col(n) > most).withColumn("is_hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    met = [*left.columns, *[c for c in sized.columns if c not in keys]]
+    return marked.where("is_hot").select(met).unionByName(marked.where("is_hot IS NULL").select(left.columns).join(sized.where(F.col(n) <= most), keys).select(met))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

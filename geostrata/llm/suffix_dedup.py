@@ -6,19 +6,25 @@ built where repeats can be, in parts of bounded size:
 1. Anchors. Of the GRAM-byte strings in a window of ``least`` bytes, the one with the least hash
    (leftmost of ties) is the window's anchor. Equal windows have equal anchors at equal places, so
    each window start belongs to one anchor, and repeats share its key, the hash of its gram.
-2. Contexts. An anchor's context is the text under its own windows. Contexts that are equal as a whole
-   are counted by hash alone; all their bytes are repeats. What remains are keys with contexts that
-   differ: where a repeat begins or ends. Of each such context the bytes are fetched once.
+2. Contexts. An anchor's context is the text under its own windows. Equal contexts are fetched and
+   sorted once, with the number of their places. A key with one context only needs no sorting, as the
+   windows of one context all differ: its tree is leaves, and that at the context's beginning, if it
+   has several places, is the one that cannot be extended to the left.
 3. Suffix arrays. The contexts of a key, of many keys at once, get an enhanced suffix array over
    their window starts: order and longest common prefixes by rank doubling. A stack scan yields its
    common-prefix intervals; those of ``least`` or more that can be extended to the left in different
    ways are the maximal repeats, with all their occurrences, and these cover the bytes that go.
-4. A key with more than BLOCK contexts (a passage in very many texts) is dealt by the hash of each
-   window instead, with counts combined before the shuffle, so that no task gets the whole key.
+4. A key with more than BLOCK different contexts (a passage in very many texts) would not fit an array.
+   Of its tree only the nodes at depth ``least`` are made, by the hash of each window, with counts
+   combined before the shuffle, so that no task gets the whole key.
 
-The result is the spans that go; maximal repeats are kept within an array only. Nothing is capped or sampled, and matches never cross documents. Texts are shuffled twice,
-compressed, to fetch contexts and to cut. Hashes have 64 bits, and contexts count as equal only if
-both their own and their gram's agree.
+repeat_groups() gives the repeats with all their places, remove_repeats() the spans that they cover.
+Repeats are maximal within an anchor's context; a longer one is a chain of groups that overlap. Any
+place of a group's text has the same windows, so the same anchor, and is in the group.
+
+Nothing is capped or sampled, and matches never cross documents. Anchors are computed once and texts
+compressed once; both are written, and the compressed texts shuffled twice, to fetch contexts and to
+cut. Hashes have 64 bits, and contexts count as equal only if both their own and their gram's agree.
 """
 
 from __future__ import annotations
@@ -31,16 +37,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import map_slices, read_table, with_fields, written_and_reread
+from geostrata.llm.common import heavy_join, map_slices, read_table, with_fields, written_and_reread
 
 LEAST = 200
 GRAM = 40
-#: Contexts of one key that go into one suffix array.
-BLOCK = 2048
+#: Different contexts of one key that go into one suffix array.
+BLOCK = 8192
 #: Bytes of a text that are hashed at once; longer texts are cut, with overlaps of least - 1.
 SEGMENT = 1 << 20
-#: Bytes of contexts in one suffix array, unless one key has more.
+#: Bytes of contexts in one suffix array, unless one key has more, and arrays of one task.
 ARRAY_BYTES = 4 << 20
+ARRAYS = 16
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -98,14 +105,12 @@ def text_anchors(raw: bytes, least: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _anchors(least: int, gram: int, place: bool):
+def _anchors(least: int, gram: int):
     def apply(keys, tags, texts):
         found = [text_anchors((t or "").encode(), least, gram) for t in texts]
-        columns = [pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.concatenate([f[1] for f in found]).view(np.int64))]
-        if not place:
-            return columns
+        grams, contexts, first, windows = (np.concatenate([f[k] for f in found]) for k in range(4))
         row = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-        return [pa.array([keys[k] for k in row.tolist()]) if any(k is not None for k in keys) else [None] * len(row), pa.array(np.array(tags)[row]), *columns, pa.array(np.concatenate([f[2] for f in found])), pa.array(np.concatenate([f[3] for f in found]))]
+        return [[keys[k] for k in row.tolist()], pa.array(np.array(tags)[row]), pa.array(grams.view(np.int64)), pa.array(contexts.view(np.int64)), pa.array(first), pa.array(windows)]
 
     return apply
 
@@ -133,43 +138,44 @@ STEP = 7  # symbols of 9 bits in one long
 class SuffixArray:
     """Window starts of fragments in order of their text, with longest common prefixes.
 
-    A symbol is a byte plus one; 0 ends a fragment. Orders and prefixes look at STEP * 2**5 - 1 = 223 symbols.
+    A symbol is a byte plus one; 0 ends a fragment. Ranks of 7, 14, 28, ... symbols are made until they
+    see more than the longest fragment; what they see beyond a fragment's end only orders what is equal
+    up to there.
     """
 
     def __init__(self, fragments: list[bytes], least: int) -> None:
-        if least > STEP << 5:
-            raise ValueError(f"suffix arrays look at {STEP << 5} symbols")
-        lengths = np.array([len(f) for f in fragments])
-        room = lengths + (STEP << 5)
-        self.base = np.r_[0, np.cumsum(room)[:-1]]
-        symbols = np.zeros(int(room.sum()) + (STEP << 5), np.int64)
-        spread = np.repeat(self.base - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        lengths = self.lengths = np.array([len(f) for f in fragments])
+        sizes = [STEP]
+        while sizes[-1] <= lengths.max(initial=0):
+            sizes.append(2 * sizes[-1])
+        self.base = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+        symbols = np.zeros(int((lengths + 1).sum()) + 2 * sizes[-1], np.int64)
+        spread = np.arange(lengths.sum()) + np.repeat(np.arange(len(fragments)), lengths)
         symbols[spread] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
         self.symbols = symbols
         windows = np.maximum(lengths - least + 1, 0)
         self.owner = np.repeat(np.arange(len(fragments)), windows)
         starts = np.arange(windows.sum()) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
-        ranks, size = [], STEP
         packed = np.zeros(len(symbols) - STEP + 1, np.int64)
         for k in range(STEP):
             packed = packed << 9 | symbols[k : len(symbols) - STEP + 1 + k]
-        ranks.append(np.unique(packed, return_inverse=True)[1])
-        while size < STEP << 5:
+        ranks = [np.unique(packed, return_inverse=True)[1].astype(np.int32)]
+        for size in sizes[:-1]:
             last = ranks[-1]
-            pair = last[:-size] * (int(last.max()) + 1) + last[size:]
-            ranks.append(np.unique(pair, return_inverse=True)[1])
-            size *= 2
+            pair = last[:-size].astype(np.int64) * (int(last.max()) + 1) + last[size:]
+            ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
         places = self.base[self.owner] + starts
         order = np.argsort(ranks[-1][places], kind="stable")
         self.places, self.owner, self.starts = places[order], self.owner[order], starts[order]
+        room = lengths[self.owner] - self.starts
         self.prefix = np.zeros(len(order) + 1, np.int64)  # [k]: of entries k - 1 and k
         a, b = self.places[:-1].copy(), self.places[1:].copy()
         common = np.zeros(len(a), np.int64)
-        for size, rank in [(STEP << k, ranks[k]) for k in range(len(ranks) - 2, -1, -1)] + [(1, symbols)] * (STEP - 1):
-            same = (rank[a] == rank[b]) & ((size > 1) | (symbols[a] > 0))
+        for size, rank in [*zip(reversed(sizes[:-1]), reversed(ranks[:-1]), strict=True), *[(1, symbols)] * (STEP - 1)]:
+            same = rank[a] == rank[b]
             common, a, b = common + size * same, a + size * same, b + size * same
-        room_left = np.minimum((lengths[self.owner] - self.starts)[:-1], (lengths[self.owner] - self.starts)[1:]) if len(order) else common
-        self.prefix[1:-1] = np.minimum(common, room_left)
+        if len(order):
+            self.prefix[1:-1] = np.minimum(common, np.minimum(room[:-1], room[1:]))
 
     def left(self) -> np.ndarray:
         """The symbol before each entry; 0 at a fragment's beginning."""
@@ -177,22 +183,28 @@ class SuffixArray:
 
 
 DIVERSE = -1
-#: The longest common prefix that is measured.
-SEEN = (STEP << 5) - 1
 
 
-def maximal_repeats(array: SuffixArray, least: int) -> list[tuple[int, int, int]]:
-    """(length, from, to): entries [from, to) share a prefix of just length, least or more, and differ to the left.
+def maximal_repeats(array: SuffixArray, least: int, times: np.ndarray | None = None) -> np.ndarray:
+    """Rows (length, from, to): entries [from, to) share a prefix of just length, least or more, and differ to the left.
 
     One scan with a stack of open intervals of the common-prefix tree. A fragment's beginning counts
-    as different from anything, as the text goes on there beyond what is seen. A repeat of SEEN
-    symbols is given wherever it starts, as its true end is not known.
+    as different from anything, as the text goes on there beyond what is seen; where a fragment stands
+    for several places and begins no other, that entry alone is a repeat as well.
     """
     prefix, left, found = array.prefix, array.left(), []
     deep = prefix >= least
     run_from = np.flatnonzero(deep[1:] & ~deep[:-1])  # entry before the first deep prefix
     run_to = np.flatnonzero(deep[:-1] & ~deep[1:])  # last entry of the run
-    for low, high in zip(run_from.tolist(), run_to.tolist(), strict=True):
+    pairs = run_to == run_from + 1
+    low = run_from[pairs]
+    low = low[(left[low] == 0) | (left[low] != left[low + 1])]
+    rows = [np.stack([prefix[low + 1], low, low + 2], 1)]
+    if times is not None:
+        whole = array.lengths[array.owner]
+        alone = np.flatnonzero((array.starts == 0) & (times[array.owner] > 1) & (prefix[:-1] < whole) & (prefix[1:] < whole))
+        rows.append(np.stack([whole[alone], alone, alone + 1], 1))
+    for low, high in zip(run_from[~pairs].tolist(), run_to[~pairs].tolist(), strict=True):
         heights, lefts = prefix[low + 1 : high + 1].tolist(), left[low : high + 1].tolist()
         stack: list[list[int]] = []  # [length, from, left symbol or DIVERSE]
         for k in range(len(lefts)):
@@ -202,27 +214,24 @@ def maximal_repeats(array: SuffixArray, least: int) -> list[tuple[int, int, int]
             while stack and stack[-1][0] > height:
                 length, begin, seen = stack.pop()
                 mark = seen if seen == mark else DIVERSE
-                if mark == DIVERSE or length >= SEEN:
+                if mark == DIVERSE:
                     found.append((length, low + begin, low + k + 1))
             if stack and stack[-1][0] == height:
                 stack[-1][2] = mark if stack[-1][2] == mark else DIVERSE
             elif height >= least:
                 stack.append([height, begin, mark])
-    return found
+    return np.concatenate([*rows, np.array(found, np.int64).reshape(-1, 3)])
 
 
-def repeat_covers(fragments: list[bytes], least: int) -> list[tuple[int, int] | None]:
+def repeat_covers(array: SuffixArray, repeats: np.ndarray) -> list[tuple[int, int] | None]:
     """For each fragment, the bytes [from, to) between its first and last repeat's ends; None without one."""
-    array = SuffixArray(fragments, least)
-    low = np.full(len(fragments), 1 << 60)
-    high = np.full(len(fragments), -1)
-    repeats = maximal_repeats(array, least)
-    if repeats:
-        lengths, begins, ends = map(np.array, zip(*repeats, strict=True))
-        sizes = ends - begins
-        entry = np.arange(sizes.sum()) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.repeat(begins, sizes)
-        np.minimum.at(low, array.owner[entry], array.starts[entry])
-        np.maximum.at(high, array.owner[entry], array.starts[entry] + np.repeat(lengths, sizes))
+    deepest = np.zeros(len(array.owner), np.int64)
+    for length, begin, end in repeats[np.argsort(repeats[:, 0], kind="stable")].tolist():
+        deepest[begin:end] = length
+    low, high = np.full(len(array.lengths), 1 << 60), np.full(len(array.lengths), -1)
+    met = np.flatnonzero(deepest)
+    np.minimum.at(low, array.owner[met], array.starts[met])
+    np.maximum.at(high, array.owner[met], array.starts[met] + deepest[met])
     return [(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
 
 
@@ -236,23 +245,24 @@ def _fragments(least: int):
         for requests, blob in zip(wanted, packed, strict=True):
             raw = unpack.decompress(blob)
             for r in requests:
-                for column, x in zip(out, (r["gram"], r["context"], r["first"], r["times"], raw[r["first"] : r["first"] + r["windows"] - 1 + least]), strict=True):
+                for column, x in zip(out, (r["gram"], r["context"], r["times"], r["contexts"], raw[r["first"] : r["first"] + r["windows"] - 1 + least]), strict=True):
                     column.append(x)
         return out
 
     return apply
 
 
-def _array_covers(least: int):
+def _of_arrays(least: int, give):
+    """Groups of contexts (one key's each), as many as fit, through one suffix array; give(held, array, repeats) makes rows."""
+
     def apply(groups):
-        out: list[list] = [[], [], [], []]
+        rows: list[tuple] = []
         held: list[dict] = []
 
         def flush():
-            for x, cover in zip(held, repeat_covers([x["bytes"] for x in held], least) if held else [], strict=True):
-                if cover:
-                    for column, v in zip(out, (x["gram"], x["context"], *cover), strict=True):
-                        column.append(v)
+            if held:
+                array = SuffixArray([x["bytes"] for x in held], least)
+                rows.extend(give(held, array, maximal_repeats(array, least, np.array([x["times"] for x in held]))))
             held.clear()
 
         for group in groups:
@@ -260,53 +270,115 @@ def _array_covers(least: int):
                 flush()
             held.extend(group)
         flush()
-        return out
+        return [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
 
     return apply
 
 
+def _array_covers(least: int):
+    return _of_arrays(least, lambda held, array, repeats: [(x["gram"], x["context"], *cover) for x, cover in zip(held, repeat_covers(array, repeats), strict=True) if cover])
+
+
+def _array_groups(least: int):
+    def give(held, array, repeats):
+        for n, (length, begin, end) in enumerate(repeats[np.lexsort(repeats.T[::-1])].tolist()):
+            for owner, start in zip(array.owner[begin:end].tolist(), array.starts[begin:end].tolist(), strict=True):
+                x = held[owner]
+                yield x["gram"], x["context"], start, {"n": n, "length": length}
+
+    return _of_arrays(least, give)
+
+
 def _window_hashes(least: int):
-    def apply(grams, contexts, fragments):
-        out = [[], [], [], []]
-        for gram, context, raw in zip(grams, contexts, fragments, strict=True):
-            sums, n, p = prefix_hashes(np.frombuffer(raw, np.uint8)), len(raw), powers()
-            windows = mixed((sums[least:] - sums[:-least]) * p[SEGMENT - np.arange(n - least + 1)]).view(np.int64)
-            out[0] += [gram] * len(windows)
-            out[1] += [context] * len(windows)
-            out[2] += range(len(windows))
-            out[3] += windows.tolist()
+    def apply(grams, contexts, fragments, times):
+        out = [[], [], [], [], []]
+        for gram, context, raw, n in zip(grams, contexts, fragments, times, strict=True):
+            sums, p = prefix_hashes(np.frombuffer(raw, np.uint8)), powers()
+            found = mixed((sums[least:] - sums[:-least]) * p[SEGMENT - np.arange(len(raw) - least + 1)]).view(np.int64)
+            out[0] += [gram] * len(found)
+            out[1] += [context] * len(found)
+            out[2] += range(len(found))
+            out[3] += found.tolist()
+            out[4] += [n] * len(found)
         return out
 
     return apply
 
 
-def covered(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """(key, tag, covers): the byte ranges that go, unmerged, of rows (key, tag, text) that have any; docs is read several times."""
-    seen = map_slices(docs, "gram long, context long", _anchors, least, gram, False)
-    contexts = written_and_reread(seen.groupBy("gram", "context").agg(F.count("*").alias("times")))
-    several = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    several = written_and_reread(several)
-    wanted = contexts.join(several, "gram", "left").where("times > 1 OR contexts > 1").select("gram", "context", "times", F.coalesce("contexts", F.lit(1)).alias("contexts"))
-    placed = map_slices(docs, with_fields(docs.select("key").schema, "tag long, gram long, context long, first long, windows long"), _anchors, least, gram, True)
-    shared = written_and_reread(placed.join(wanted, ["gram", "context"]))
-    whole = shared.where("times > 1").select("key", "tag", F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + least).alias("end")).alias("cover"))
-
-    chosen = shared.where("contexts > 1").groupBy("gram", "context").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag", "first", "windows", "times")).alias("one"))
-    requests = chosen.select("one.key", "one.tag", F.struct("gram", "context", "one.first", "one.windows", "one.times").alias("request")).groupBy("key", "tag").agg(F.collect_list("request").alias("wanted"))
-    packed = compressed(docs)
-    met = requests.join(packed, requests.key.eqNullSafe(packed.key) & (requests.tag == packed.tag)).select(requests.key, requests.tag, "wanted", "packed")
-    fragments = map_slices(met, "gram long, context long, first long, times long, bytes binary", _of, _fragments(least)).dropDuplicates(["gram", "context"])
-    fragments = written_and_reread(fragments.join(several, "gram").drop("first", "times"))
-
-    small = fragments.where(F.col("contexts") <= block).groupBy("gram").agg(F.collect_list(F.struct("gram", "context", "bytes")).alias("group"))
-    covers = map_slices(small.select("group"), "gram long, context long, low long, high long", _of, _array_covers(least))
-    hot = fragments.where(F.col("contexts") > block)
-    windows = map_slices(hot.select("gram", "context", "bytes"), "gram long, context long, at long, window long", _of, _window_hashes(least))
-    often = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    covers = covers.union(windows.join(often, ["gram", "window"]).groupBy("gram", "context").agg(F.min("at").alias("low"), (F.max("at") + least).alias("high")))
-    # a context met once is its only occurrence's; those met more often go as a whole
-    part = shared.where("contexts > 1 AND times = 1").join(covers, ["gram", "context"]).select("key", "tag", F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high")).alias("end")).alias("cover"))
-    return whole.union(part).groupBy("key", "tag").agg(F.collect_set("cover").alias("covers"))
+class Plan:
+    """Where the rows (key, tag, text) of docs may have repeats: what is written once and read by both outputs."""
+
+    def __init__(self, docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> None:
+        self.least, self.block = least, block
+        placed = written_and_reread(map_slices(docs, with_fields(docs.select("key").schema, "tag long, gram long, context long, first long, windows long"), _anchors, least, gram))
+        self.packed = written_and_reread(compressed(docs))
+        contexts = written_and_reread(placed.groupBy("gram", "context").agg(F.count("*").alias("times")))
+        several = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+        wanted = contexts.join(several, "gram", "left").select("gram", "context", "times", F.coalesce("contexts", F.lit(1)).alias("contexts")).where("times > 1 OR contexts > 1")
+        #: (key, tag, gram, context, first, windows, times, contexts) of each place of a context that is met again or whose key is
+        self.shared = written_and_reread(heavy_join(placed, written_and_reread(wanted), ["gram", "context"], "times"))
+
+    def fragments(self) -> DataFrame:
+        """(gram, context, times, contexts, bytes): one of each context of the keys that have several."""
+        one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag", "first", "windows")).alias("one")
+        chosen = self.shared.where("contexts > 1").groupBy("gram", "context", "times", "contexts").agg(one)
+        requests = chosen.select("one.key", "one.tag", F.struct("gram", "context", "one.first", "one.windows", "times", "contexts").alias("request")).groupBy("key", "tag").agg(F.collect_list("request").alias("wanted"))
+        packed = self.packed
+        met = requests.join(packed, requests.key.eqNullSafe(packed.key) & (requests.tag == packed.tag)).select(requests.key, requests.tag, "wanted", "packed")
+        found = map_slices(met, "gram long, context long, times long, contexts long, bytes binary", _of, _fragments(self.least))
+        return written_and_reread(found.dropDuplicates(["gram", "context"]))  # repeated rows of docs each answered
+
+    def arrays(self, fragments: DataFrame, schema: str, make) -> DataFrame:
+        """Rows that make yields of the suffix arrays of the keys with block contexts at most."""
+        small = fragments.where(F.col("contexts") <= self.block)
+        total = small.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+        # a number of tasks of our own: by bytes alone, too few would be made for so much work
+        tasks = max(int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (ARRAYS * ARRAY_BYTES))
+        grouped = small.repartition(tasks, "gram").groupBy("gram").agg(F.collect_list(F.struct("gram", "context", "times", "bytes")).alias("group"))
+        return map_slices(grouped.select("group"), schema, _of, make(self.least))
+
+    def windows(self, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the keys with more than block contexts: (gram, context, at, window) and, of the windows met again, (gram, window, n)."""
+        hot = fragments.where(F.col("contexts") > self.block)
+        # times is 1 or more a context, so that one context with several places is met again
+        windows = map_slices(hot.select("gram", "context", "bytes", "times"), "gram long, context long, at long, window long, times long", _of, _window_hashes(self.least))
+        often = windows.groupBy("gram", "window").agg(F.count("*").alias("n"), F.sum("times").alias("met")).where("met > 1").drop("met")
+        return windows.drop("times"), written_and_reread(often)
+
+    def covers(self) -> DataFrame:
+        """(key, tag, covers): the byte ranges that go, unmerged, of the rows that have any."""
+        whole = self.shared.where("times > 1").select("key", "tag", F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + self.least).alias("end")).alias("cover"))
+        fragments = self.fragments()
+        found = self.arrays(fragments, "gram long, context long, low long, high long", _array_covers)
+        windows, often = self.windows(fragments)
+        if often.limit(1).count():
+            found = found.union(heavy_join(windows, often, ["gram", "window"], "n").groupBy("gram", "context").agg(F.min("at").alias("low"), (F.max("at") + self.least).alias("high")))
+        # a context met once has one place; one met more often goes as a whole
+        part = self.shared.where("contexts > 1 AND times = 1").join(found, ["gram", "context"])
+        part = part.select("key", "tag", F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high")).alias("end")).alias("cover"))
+        return whole.union(part).groupBy("key", "tag").agg(F.collect_set("cover").alias("covers"))
+
+    def groups(self) -> DataFrame:
+        """(group, length, key, start)."""
+        alone = self.shared.where("contexts = 1").select(F.concat(F.hex("gram"), F.lit("-0")).alias("group"), (F.col("windows") - 1 + self.least).alias("length"), "key", F.col("first").alias("start"))
+        fragments = self.fragments()
+        found = self.arrays(fragments, "gram long, context long, at long, of struct<n:long,length:long>", _array_groups)
+        named = found.select("gram", "context", "at", F.concat(F.hex("gram"), F.lit("-"), "of.n").alias("group"), "of.length")
+        windows, often = self.windows(fragments)
+        if often.limit(1).count():
+            hot = heavy_join(windows, often, ["gram", "window"], "n")
+            named = named.union(hot.select("gram", "context", "at", F.concat(F.hex("gram"), F.lit("-w"), F.hex("window")), F.lit(self.least).cast("long")))
+        named = written_and_reread(named)
+        # how many places each context's rows meet, so that a context met very often does not gather on one task
+        sized = self.shared.where("contexts > 1").groupBy("gram", "context").agg(F.count("*").alias("places"))
+        listed = named.groupBy("gram", "context").agg(F.collect_list(F.struct("group", "length", "at")).alias("of")).join(sized, ["gram", "context"])
+        met = heavy_join(self.shared.where("contexts > 1").select("key", "first", "gram", "context"), written_and_reread(listed), ["gram", "context"], "places")
+        met = met.select("key", "first", F.explode("of").alias("of")).select("of.group", "of.length", "key", (F.col("first") + F.col("of.at")).alias("start"))
+        return alone.union(met)
+
+
+def _docs(df: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(df[key].alias("key"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("tag"), df[text].cast("string").alias("text"))
 
 
 def merged(covers: list[dict] | None) -> list[tuple[int, int]]:
@@ -344,12 +416,23 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", least
     Texts under ``least`` bytes lose nothing. kept are bytes, as a cut may part a character's bytes.
     Other columns, clashing names included, are ignored; an empty df gives no rows.
     """
-    docs = df.select(df[key].alias("key"), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))).alias("tag"), df[text].cast("string").alias("text"))
-    found, packed = covered(docs, least, block=block), compressed(docs)
+    plan = Plan(_docs(df, text, key), least, block=block)
+    found, packed = plan.covers(), plan.packed
     both = packed.join(found, packed.key.eqNullSafe(found.key) & (packed.tag == found.tag), "left").select(packed.key, "covers", "packed")
     schema = with_fields(both.select("key").schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept binary" * with_bytes)
     return map_slices(both, schema, _of, _cut(with_bytes)).withColumnRenamed("key", key)
 
 
+def repeat_groups(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """One row for each place of each maximal repeat: group, length, key, start (both in bytes).
+
+    The places of a group hold the same ``length`` bytes, ``least`` or more, and are all that do; none
+    can be extended to both sides within its anchor's context without losing places. Groups of a key
+    with more than ``block`` different contexts have ``least`` bytes each. A null text counts as empty;
+    rows that are repeated are places each. Other columns, clashing names included, are ignored.
+    """
+    return Plan(_docs(df, text, key), least, block=block).groups().withColumnRenamed("key", key)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("removed")
