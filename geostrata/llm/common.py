@@ -79,19 +79,26 @@ def hash_share(share: Column | float, *by: Column) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """name, or with underscores added until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema, *StructType.fromDDL(ddl)])
 
 
-def heavy_join(left: DataFrame, sized: DataFrame, keys: str | list[str], n: str, parts: int = 1000) -> DataFrame:
+def heavy_join(left: DataFrame, sized: DataFrame, keys: str | list[str], n: str, total: int | None = None, parts: int = 1000) -> DataFrame:
     """left joined with sized (keys, n, others) on the keys, where n counts left's rows of the keys.
 
     Keys with more than a ``parts``-th of all rows counted are fewer than ``parts``: those rows of sized
     are broadcast, and a hot key's rows stay where they are. The rest are joined by a shuffle. left is
-    read twice.
+    read twice. total, where known, is the sum of n.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    most = (sized.agg(F.sum(n)).first()[0] or 0) / parts
+    most = ((sized.agg(F.sum(n)).first()[0] or 0) if total is None else total) / parts
     hot = sized.where(F.col(n) > most).withColumn("is_hot", F.lit(True))
     marked = left.join(F.broadcast(hot), keys, "left")
     met = [*left.columns, *[c for c in sized.columns if c not in keys]]

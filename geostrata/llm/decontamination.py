@@ -5,8 +5,9 @@ and answer alike; a shorter item as a whole) is one pattern, and a document is s
 sequence of its words. A match's word positions are mapped back to code points of the original text.
 
 The automaton goes to each worker as a broadcast. Its source is gathered only in blocks of items
-whose texts keep within ``block_bytes`` together, by the counted bytes of the benchmark; a larger
-benchmark is scanned for block after block, each document's hits and items being united.
+whose texts keep within ``block_bytes`` together, by the counted bytes of the benchmark. A larger
+benchmark is scanned for block after block, one in memory at a time, documents being read once a
+block and each one's hits and items united.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import LOWER, UPPER, checkpointed, keep_rows, map_slices, read_table, with_fields
+from geostrata.llm.common import LOWER, UPPER, keep_rows, map_slices, read_table, unused, with_fields, written_and_reread
 
 WINDOW = 13
 #: Bytes of item texts that one automaton holds; an automaton takes some 20 times that in a worker.
@@ -131,18 +132,18 @@ def _united(blocks: list[list[dict]]) -> list[tuple[int, int]]:
     return runs
 
 
-def item_blocks(benchmark: DataFrame, text: str, key: str, block_bytes: int) -> list:
-    """Broadcasts of (tag, [(item, text), ...]), each gathered within block_bytes."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
-    total, longest = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    blocks = -(-(total + 1) // max(block_bytes // 2, 1))  # half full on average, so that chance does not overfill one
-    if blocks == 1:
-        gathered = [items]
-    else:
-        items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-        gathered = [items.where(F.col("block") == b).drop("block") for b in range(blocks)]
-    return [spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text) for r in x.collect()])) for x in gathered]
+class ItemBlocks:
+    """Broadcasts of (tag, [(item, text), ...]), each gathered within block_bytes; one stands at a time."""
+
+    def __init__(self, benchmark: DataFrame, text: str, key: str, block_bytes: int) -> None:
+        self.items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
+        total = self.items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        # half full on average, so that chance does not overfill one
+        self.count = 1 if total <= block_bytes else -(-(total + 1) // max(block_bytes // 2, 1))
+
+    def broadcast(self, block: int):
+        items = self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == block)
+        return self.items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text) for r in items.collect()]))
 
 
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_words array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
@@ -159,16 +160,20 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """
     base = df.select(df[key], df[text].cast("string"))
     schema = with_fields(df.select(df[key]).schema, FOUND)
-    blocks = item_blocks(benchmark, item_text, item_key, block_bytes)
-    if len(blocks) == 1:
-        return map_slices(base, schema, _scan, blocks[0], window)
-    numbered = checkpointed(base.withColumn("row", F.monotonically_increasing_id()))
+    blocks = ItemBlocks(benchmark, item_text, item_key, block_bytes)
+    if blocks.count == 1:
+        return map_slices(base, schema, _scan, blocks.broadcast(0), window)
+    row = unused("row", base.columns)
+    numbered = written_and_reread(base.withColumn(row, F.monotonically_increasing_id()))
     parts = None
-    for block in blocks:
-        part = map_slices(numbered.select("row", text), with_fields(numbered.select("row").schema, FOUND), _scan, block, window)
+    for block in range(blocks.count):
+        held = blocks.broadcast(block)
+        part = map_slices(numbered.select(row, text), with_fields(numbered.select(row).schema, FOUND), _scan, held, window)
+        part = written_and_reread(part if parts is None else part.where("n_hit > 0"))  # the first gives each row's words
+        held.destroy()
         parts = part if parts is None else parts.union(part)
-    met = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("hit_words").alias("hits"), F.collect_list("spans").alias("spans"))
-    back = numbered.select("row", key).join(met, "row").select(key, "n_words", "items", "hits", "spans")
+    met = parts.groupBy(row).agg(F.max("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("hit_words").alias("hits"), F.collect_list("spans").alias("spans"))
+    back = numbered.select(row, key).join(met, row).select(key, "n_words", "items", "hits", "spans")
     return map_slices(back, schema, _unite, window)
 
 
@@ -183,12 +188,15 @@ def _clean(broadcast, window: int):
 
 
 def uncontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df's rows, all columns untouched, without those that decontaminate() calls contaminated."""
-    blocks = item_blocks(benchmark, item_text, item_key, block_bytes)
-    if len(blocks) == 1:
-        return keep_rows(df, [text], _clean, blocks[0], window)
-    row = "row_of_" + "_".join(df.columns)
-    numbered = checkpointed(df.withColumn(row, F.monotonically_increasing_id()))
+    """df's rows, all columns untouched, without those that decontaminate() calls contaminated.
+
+    Null and wordless texts stay, repeated rows are each judged alike; an empty benchmark drops nothing.
+    """
+    blocks = ItemBlocks(benchmark, item_text, item_key, block_bytes)
+    if blocks.count == 1:
+        return keep_rows(df, [text], _clean, blocks.broadcast(0), window)
+    row = unused("row_number", df.columns)
+    numbered = written_and_reread(df.withColumn(row, F.monotonically_increasing_id()))
     verdicts = decontaminate(numbered, benchmark, text, row, item_text, item_key, window, block_bytes)
     return numbered.join(verdicts.where(~F.col("contaminated")).select(row), row, "left_semi").drop(row)
 

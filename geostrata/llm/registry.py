@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from geostrata.llm import decontamination, language_id, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts
 
 
@@ -23,9 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op9_secrets,
         quality_classifier.op10_quality_classifier,
     ]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_sharding": sharding.sql()}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_sharding": sharding.sql()}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from geostrata.llm.common import LOWER, UPPER, checkpointed, heavy_join, read_table, slices, written_and_reread
+from geostrata.llm.common import LOWER, UPPER, checkpointed, heavy_join, read_table, slices, unused, written_and_reread
 
 SEED = 42
 SHINGLE = 3
@@ -139,34 +139,45 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """(u, v): each node u that is not the least of its component, and that least node v."""
+    """(u, v): each node u that is not the least of its component, and that least node v.
+
+    A hub's links stay where they are, as its least neighbour is broadcast to them; hubs are those with
+    more than a thousandth of all links, and so fewer than two thousand.
+    """
     edges = checkpointed(edges)
-    before = None
+    before, size = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = heavy_join(both.where("v > u"), least, "u", "n", total=2 * size, parts=2000).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges
-        before = now
+        before, size = now, now[0]
+
 
+def fingerprinted(df: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
+    """(key, tag, fp) of each row of df, computed once; tag is a hash of the text."""
+    content = df[text].cast("string")
+    own = df.select(df[key].alias("key"), F.xxhash64(F.coalesce(content, F.lit(""))).alias("tag"), content.alias("text"))
+    return written_and_reread(with_fingerprint(own, "text", "fp", shingle).select("key", "tag", "fp"))
 
-def components(keyed: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """(fp, component, least_key, least_fp) for each distinct fp of keyed (key, fp).
 
-    component is the smallest key reachable; (least_key, least_fp) is the row that stands for the
-    component: of the smallest key, and of those the smallest fp.
+def components(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, n, best) for each distinct fp of keyed (key, tag, fp): n of its rows, and best of its component.
+
+    best has key, the smallest reachable, and tag: that of the row that stands for the component, which
+    is of the smallest key, and of those of the smallest fp and then tag.
     """
-    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("fp").alias("fp")))
-    fps = checkpointed(keyed.groupBy("fp").agg(least.alias("least")))
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "tag"))
+    fps = checkpointed(keyed.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")))
     roots = stars(links(fps.select("fp"), block))
-    rooted = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    return rooted.join(best, "root").select("fp", F.col("best.key").alias("component"), F.col("best.key").alias("least_key"), F.col("best.fp").alias("least_fp"))
+    rooted = checkpointed(fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("v", "fp").alias("root")))
+    best = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("members")))
+    return checkpointed(heavy_join(rooted, best, "root", "members").select("fp", "n", "best"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -176,20 +187,23 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     Null, empty and wordless texts have fingerprint zero and link like others. Other columns,
     clashing names included, are ignored; an empty df gives no rows.
     """
-    own = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    keyed = checkpointed(with_fingerprint(own, "text", "fp", shingle).select("key", "fp"))
-    found = keyed.join(components(keyed, "key", block), "fp")
-    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    keyed = fingerprinted(df, text, key, shingle)
+    found = heavy_join(keyed, components(keyed, block), "fp", "n")
+    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.key").alias("component_id"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """df's rows, all columns untouched, one of each component: that of the smallest key; of rows of one key and fingerprint, one."""
-    fp = "fp_of_" + "_".join(df.columns)
-    full = with_fingerprint(df, text, fp, shingle)
-    keyed = checkpointed(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "text", "fp", shingle).select("key", "fp"))
-    best = components(keyed, "key", block).select("least_key", "least_fp").distinct()
-    kept = full.join(best, full[key].eqNullSafe(best.least_key) & (full[fp] == best.least_fp), "left_semi")
-    return kept.dropDuplicates([key, fp]).drop(fp)
+    """df's rows, all columns untouched, one of each component.
+
+    That is a row of the smallest key; of rows of one key, that of the smallest fingerprint, then of the
+    smallest hash of its text; of rows with the same key and text, any one. Null, empty and wordless texts
+    are one component; null keys come after all others. An empty df gives no rows.
+    """
+    best = components(fingerprinted(df, text, key, shingle), block).select("best").distinct()
+    tag = unused("tag", df.columns)
+    tagged = df.withColumn(tag, F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))))
+    kept = tagged.join(best, tagged[key].eqNullSafe(best.best["key"]) & (tagged[tag] == best.best["tag"]), "left_semi")
+    return kept.dropDuplicates([key, tag]).drop(tag)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from geostrata.llm.common import heavy_join, map_slices, read_table, with_fields
 LEAST = 200
 GRAM = 40
 #: Different contexts of one key that go into one suffix array.
-BLOCK = 8192
+BLOCK = 2048
 #: Bytes of a text that are hashed at once; longer texts are cut, with overlaps of least - 1.
 SEGMENT = 1 << 20
 #: Bytes of contexts in one suffix array, unless one key has more, and arrays of one task.

@@ -26,7 +26,7 @@ def texts():
     return [passage, f"{prose(30)} {passage} {prose(20)}", f"{prose(9)} {passage[40:500]} {other}", other + passage[:450], near, near, "ab" * 400, "ab" * 300, "", None, prose(200), f"{other} {prose(3)} {other}", *[prose(4) + " " + passage[10:330] + " " + prose(40) for _ in range(12)]]
 
 
-@pytest.mark.parametrize("block", [8192, 3])
+@pytest.mark.parametrize("block", [2048, 3])
 def test_groups_list_all_places_and_cover_what_goes(spark, block):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -64,9 +64,9 @@ def test_arrays_have_right_order_and_prefixes():
 def test_maximal_repeats_by_comparing_all():
     """Of an array's entries: sets that share a prefix, as long as possible, and differ to the left."""
     rng = random.Random(5)
-    parts = [bytes(rng.choice(b"ab") for _ in range(90)) for _ in range(3)]
-    fragments = sorted({b"".join(rng.choice(parts) for _ in range(4))[rng.randrange(40) :] for _ in range(14)})
-    least, times = 120, np.array([1 + (k % 5 == 0) for k in range(len(fragments))])
+    parts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(3)]
+    fragments = sorted({b"".join(rng.choice(parts) for _ in range(4))[rng.randrange(25) :] for _ in range(9)})
+    least, times = 80, np.array([1 + (k % 5 == 0) for k in range(len(fragments))])
     array = sd.SuffixArray(fragments, least)
     entries = [(o, s) for o, s in zip(array.owner.tolist(), array.starts.tolist(), strict=True)]
     found = {(length, frozenset(entries[a:b])) for length, a, b in sd.maximal_repeats(array, least, times).tolist()}
@@ -80,7 +80,7 @@ def test_maximal_repeats_by_comparing_all():
             if len(places) > 1 and (len(rights) > 1 or any(len(fragments[p]) == i + length for p, i in places)) and (len(lefts) > 1 or any(i == 0 for _, i in places)):
                 expected.add((length, frozenset(places)))
     expected |= {(len(f), frozenset({(k, 0)})) for k, f in enumerate(fragments) if times[k] > 1 and all(fragments[p][i : i + len(f)] != f for p, i in entries if p != k)}
-    assert found == expected and len(found) > 20
+    assert found == expected and len(found) > 5
 
 
 def test_long_texts_over_a_segment(spark, monkeypatch):
