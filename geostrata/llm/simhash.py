@@ -32,6 +32,8 @@ SHINGLE = 3
 DISTANCE = 3
 #: Fingerprints of one key that a task compares with one another.
 BLOCK = 4096
+#: Tasks that a node's links are dealt to.
+SALTS = 16
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -141,22 +143,22 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """(u, v): each node u that is not the least of its component, and that least node v.
 
-    A hub's links stay where they are, as its least neighbour is broadcast to them; hubs are those with
-    more than a thousandth of all links, and so fewer than two thousand.
+    A hub's links go to SALTS tasks, and each node's least neighbour to as many.
     """
     edges = checkpointed(edges)
-    before, size = None, edges.count()
+    before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = heavy_join(both.where("v > u"), least, "u", "n", total=2 * size, parts=2000).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        upward = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = upward.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges
-        before, size = now, now[0]
+        before = now
 
 
 def fingerprinted(df: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
