@@ -137,6 +137,20 @@ def project(lon: Column, lat: Column, srid: int) -> Column:
     return PROJECTIONS[srid](lon, lat)
 
 
+def reprojected(polygon: Column, srid: int, to: int) -> Column:
+    """A polygon's points from one reference system to another: degrees (4326) and PROJECTIONS, Mercator (3857) also back."""
+    if srid == to:
+        return polygon
+
+    def moved(p: Column) -> Column:
+        if srid not in (4326, 3857):
+            raise ValueError(f"from {srid} there is no way back to degrees")
+        degrees = p if srid == 4326 else from_mercator(p["x"], p["y"])
+        return degrees if to == 4326 else project(degrees["x"], degrees["y"], to)
+
+    return F.transform(polygon, lambda ring: F.transform(ring, moved))
+
+
 # --- predicates and cuts, numpy
 
 
@@ -169,6 +183,15 @@ def ring_holds(ring: np.ndarray, x: float, y: float) -> bool:
     return bool((over & (x < at)).sum() % 2)
 
 
+def row_holds(ring: np.ndarray, xs: np.ndarray, y: float) -> np.ndarray:
+    """Which of the points (xs, y) off the ring's edges are within, by crossings."""
+    a, b = ring[:-1], ring[1:]
+    over = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[over], b[over]
+    at = np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+    return (len(at) - np.searchsorted(at, xs, "right")) % 2 == 1
+
+
 def polygon_holds(rings: list[np.ndarray], x: float, y: float) -> bool:
     return sum(ring_holds(r, x, y) for r in rings) % 2 == 1
 
@@ -256,12 +279,22 @@ class PolygonCells:
         if not polygon or not len(polygon[0]):
             return
         low, high = np.floor(polygon[0].min(0) / size).astype(int), np.floor(polygon[0].max(0) / size).astype(int)
-        for px in range(low[0], high[0] + 1):
-            for py in range(low[1], high[1] + 1):
-                x, y = px * size, py * size
-                cell = [np.array([(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)])]
-                if polygons_meet(polygon, cell) if all_touched else polygon_holds(polygon, x + size / 2, y + size / 2):
-                    yield px, py
+        xs = np.arange(low[0], high[0] + 1)
+        for py in range(low[1], high[1] + 1):  # a row of cells at a time
+            held = np.zeros(len(xs), bool)
+            for ring in polygon:
+                held ^= row_holds(ring, (xs + 0.5) * size, (py + 0.5) * size)
+            if all_touched:
+                y0, y1 = py * size, (py + 1) * size
+                for ring in polygon:
+                    for (ax, ay), (bx, by) in zip(ring, ring[1:]):  # noqa: B905
+                        if min(ay, by) > y1 or max(ay, by) < y0:
+                            continue
+                        # the edge's part within the row, and the cells that it meets
+                        ends = [ax, bx] if ay == by else [ax + (bx - ax) * min(max((y - ay) / (by - ay), 0.0), 1.0) for y in (y0, y1)]
+                        held |= (xs * size <= max(ends)) & ((xs + 1) * size >= min(ends))
+            for px in xs[held].tolist():
+                yield px, py
 
 
 def polygon_cells():

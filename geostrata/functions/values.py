@@ -116,3 +116,26 @@ def mss_cloud(b4: Column, b5: Column) -> Column:
 def five_year_bucket(year: Column) -> Column:
     """The bucket's first year; 1984 and 2015 are buckets of their own, other years outside are null."""
     return F.when(year.isin(1984, 2015), year).when(year.between(1985, 2014), (F.floor(year / 5) * 5).cast("int"))
+
+
+def remapped(value: Column, old: list, new: list, default: Column | None = None) -> Column:
+    """new[k] where the value is old[k]; else the default, null without one."""
+    found = F.lit(None)
+    for a, b in reversed(list(zip(old, new, strict=True))):
+        found = F.when(value == a, b).otherwise(found)
+    return found if default is None else F.when(value.isin(old), found).otherwise(default)
+
+
+def threshold_of(year: Column, thresholds: dict[int, float]) -> Column:
+    """The year's threshold of a literal table; null for other years."""
+    return F.create_map(*[F.lit(x) for pair in sorted(thresholds.items()) for x in pair])[year]
+
+
+def labelled_blank(text: Column, label: str) -> Column:
+    """The label where a text is null or blank."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", label).otherwise(text)
+
+
+def cost_tiers(cubic_yards: Column) -> dict[str, Column]:
+    """Least, middle and greatest cost to regrade a volume, by the published rates a cubic yard."""
+    return {"min_cost": cubic_yards * 1.25, "mid_cost": cubic_yards * 1.875, "max_cost": cubic_yards * 2.5}

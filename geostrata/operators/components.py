@@ -7,22 +7,15 @@ and aggregations with a checkpoint a round. Tiles are of fixed size, so no task'
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE = 256
-
+from geostrata.functions.geometry import POLYGON
+from geostrata.operators.scale import checkpointed, heavy_join
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the session names; one of our own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geostrata-"))
-    return df.checkpoint()
+TILE = 256
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -96,9 +89,9 @@ def components(cells: DataFrame, x: str = "x", y: str = "y", keys: list[str] = (
 
 
 def with_sizes(labelled: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """labelled with size, the cells of each cell's component."""
-    sizes = labelled.groupBy(*keys, "label").agg(F.count("*").alias("size"))
-    return labelled.join(sizes, [*keys, "label"])
+    """labelled with size, the cells of each cell's component; a huge component's cells stay where they are."""
+    held = checkpointed(labelled)
+    return heavy_join(held, held.groupBy(*keys, "label").agg(F.count("*").alias("size")), [*keys, "label"], "size")
 
 
 def at_least(labelled: DataFrame, least: int, keys: list[str] = ()) -> DataFrame:
@@ -109,3 +102,62 @@ def at_least(labelled: DataFrame, least: int, keys: list[str] = ()) -> DataFrame
 def summaries(labelled: DataFrame, cell_area: float = 900.0, keys: list[str] = ()) -> DataFrame:
     """A row a component: cells, area and bounding box, the vectors' attributes."""
     return labelled.groupBy(*keys, "label").agg(F.count("*").alias("cells"), (F.count("*") * cell_area).alias("area"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), (F.max("x") + 1).alias("xmax"), (F.max("y") + 1).alias("ymax"))
+
+
+def rings_of_edges(ax: list[int], ay: list[int], bx: list[int], by: list[int]) -> list[list[tuple[int, int]]]:
+    """Closed rings of directed unit edges with the inside on their left; where four edges meet, a ring turns left, so that cells that touch at a corner have rings of their own."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for edge in sorted(zip(ax, ay, bx, by, strict=True), reverse=True):
+        out.setdefault(edge[:2], []).append(edge[2:])
+    rings = []
+    for start in sorted(out):
+        while out[start]:
+            ring, at = [start], out[start].pop()
+            while at != start:
+                dx, dy = at[0] - ring[-1][0], at[1] - ring[-1][1]
+                ring.append(at)
+                turns = [(at[0] - dy, at[1] + dx), (at[0] + dx, at[1] + dy), (at[0] + dy, at[1] - dx)]
+                at_next = next(t for t in turns if t in out[at])
+                out[at].remove(at_next)
+                at = at_next
+            corners = [p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0], p[1] - ring[k - 1][1]) != (ring[(k + 1) % len(ring)][0] - p[0], ring[(k + 1) % len(ring)][1] - p[1])]
+            rings.append([*corners, corners[0]])
+    return rings
+
+
+def ring_sum(ring: list[tuple[int, int]]) -> int:
+    """Twice the signed area."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+
+
+def outlines(labelled: DataFrame, size: float = 1.0, keys: list[str] = ()) -> DataFrame:
+    """(keys..., label, polygons): each component's outline along its cells' borders, as polygons with holes.
+
+    Edges between two cells of a component cancel by an aggregation; what is left of a component, its
+    outline, is chained in one call, as it is one value of the result. Cells of a component that touch
+    at a corner only are polygons of their own. size is a cell's width.
+    """
+    keys = list(keys)
+    x, y = F.col("x"), F.col("y")
+    sides = [(x, y, x + 1, y, 1), (x + 1, y, x + 1, y + 1, 1), (x, y + 1, x + 1, y + 1, -1), (x, y, x, y + 1, -1)]
+    edges = labelled.select(*keys, "label", F.explode(F.array(*[F.struct(a.alias("ax"), b.alias("ay"), c.alias("bx"), d.alias("by"), F.lit(s).alias("way")) for a, b, c, d, s in sides])).alias("e"))
+    outer = edges.select(*keys, "label", "e.*").groupBy(*keys, "label", "ax", "ay", "bx", "by").agg(F.sum("way").alias("way")).where("way <> 0")
+
+    def chain(names, pdf: pd.DataFrame) -> pd.DataFrame:
+        back = pdf.way.to_numpy() < 0
+        a, b = pdf[["ax", "ay"]].to_numpy(), pdf[["bx", "by"]].to_numpy()
+        a, b = np.where(back[:, None], b, a), np.where(back[:, None], a, b)
+        rings = rings_of_edges(a[:, 0].tolist(), a[:, 1].tolist(), b[:, 0].tolist(), b[:, 1].tolist())
+        shells = [[r] for r in rings if ring_sum(r) > 0]
+        for hole in (r for r in rings if ring_sum(r) < 0):
+            # the middle of the cell to the left of the hole's first edge is inside the polygon, and in the smallest shell around it
+            (px, py), (qx, qy) = hole[:2]
+            dx, dy = (qx > px) - (qx < px), (qy > py) - (qy < py)
+            mx, my = px + dx / 2 - dy / 2, py + dy / 2 + dx / 2
+            around = [s for s in shells if sum((u[1] > my) != (v[1] > my) and mx < u[0] for u, v in zip(s[0], s[0][1:], strict=False)) % 2]
+            min(around, key=lambda s: ring_sum(s[0])).append(hole)
+        polygons = [[[{"x": px * size, "y": py * size} for px, py in r] for r in s] for s in shells]
+        return pd.DataFrame([[*names, polygons]], columns=[*keys, "label", "polygons"])
+
+    kinds = dict(labelled.dtypes)
+    return outer.groupBy(*keys, "label").applyInPandas(chain, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "label")) + f", polygons array<{POLYGON}>")

@@ -96,3 +96,16 @@ def sample_raster(points: DataFrame, raster: DataFrame, size: float, columns: in
     at = points.withColumns({"px": F.floor(F.col("x") / size).cast("long"), "py": F.floor(F.col("y") / size).cast("long")})
     inside = F.col("px").between(0, columns - 1) & F.col("py").between(0, rows - 1)
     return at.join(raster.select("px", "py", value), ["px", "py"], "left").withColumn(value, F.when(inside, F.col(value)))
+
+
+def cut_fill(pixels: DataFrame, by: list[str], before: str, after: str, cell_area: float, least: float = 20.0) -> DataFrame:
+    """(by..., type, area_m2, volume_m3, elev_*): of pixels whose elevation changed by more than ``least``, by zone and sign.
+
+    elev_post_min and so on hold the least and greatest elevations of both times and their changes.
+    """
+    change = F.col(after) - F.col(before)
+    rows = pixels.withColumn("change_", change).where(F.abs("change_") > least).withColumn("type", F.when(F.col("change_") < 0, "cut").otherwise("fill"))
+    aggregates = [(F.count("*") * cell_area).alias("area_m2"), (F.sum("change_") * cell_area).alias("volume_m3")]
+    aggregates += [f(c).alias(f"elev_{name}_{kind}") for kind, f in (("min", F.min), ("max", F.max)) for name, c in (("post", after), ("pre", before))]
+    found = rows.groupBy(*by, "type").agg(*aggregates)
+    return found.withColumns({f"elev_change_{kind}": F.col(f"elev_post_{kind}") - F.col(f"elev_pre_{kind}") for kind in ("min", "max")})

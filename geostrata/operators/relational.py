@@ -85,3 +85,19 @@ def numbered(df: DataFrame, order: list[str], name: str, prefix: str = "") -> Da
 def sample_by_key(df: DataFrame, key: str, n: int, prime: int = 7919, modulus: int = 1_000_003) -> DataFrame:
     """n rows that look random and are the same each time."""
     return df.orderBy((F.col(key) * prime) % modulus, key).limit(n)
+
+
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """(n): how many different rows of the columns there are, nulls included."""
+    return df.select(*columns).distinct().agg(F.count("*").alias("n"))
+
+
+def suffix_join(left: DataFrame, right: DataFrame, name: str, suffix: str, before: str = "_", how: str = "inner") -> DataFrame:
+    """left with the rows of right whose suffix, after the sign ``before``, ends left's name: an equality join.
+
+    Every tail of the name that follows the sign is a key, so a suffix may hold the sign itself.
+    """
+    parts = F.split(F.col(name), before if before not in "\\^$.|?*+()[]{}" else "\\" + before)
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), before))
+    keyed = left.withColumn("tail_", F.explode(F.when(F.size(parts) > 1, tails).otherwise(F.array().cast("array<string>"))))
+    return keyed.join(right, keyed["tail_"] == right[suffix], how).drop("tail_")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators.scale import cumulative
+
 BINS = 256
 
 
@@ -38,11 +40,10 @@ def roc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame
     Rows are counted by score first, so that windows run over distinct scores.
     """
     counts = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    up = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return counts.select(
-        *by, score, F.try_divide(F.sum("p").over(up), F.sum("p").over(whole)).alias("sensitivity"), (1 - F.try_divide(F.sum("n").over(up), F.sum("n").over(whole))).alias("specificity")
-    )
+    ranked = cumulative(counts, by, F.col(score).desc(), ["p", "n"])
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")) if by else counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    known = ranked.join(totals, by) if by else ranked.join(F.broadcast(totals))  # one row
+    return known.select(*by, score, F.try_divide(F.col("p_before") + F.col("p"), F.col("all_p")).alias("sensitivity"), (1 - F.try_divide(F.col("n_before") + F.col("n"), F.col("all_n"))).alias("specificity"))
 
 
 def youden(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -56,12 +57,28 @@ def youden(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFr
 def auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the curve by pairs of which the positive has the higher score, ties counting a half."""
     counts = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    under = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(under), F.lit(0)) + F.col("n") / 2))
+    won = cumulative(counts, by, F.col(score), ["n"]).withColumn("won", F.col("p") * (F.col("n_before") + F.col("n") / 2))
     area = F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc")
     return won.groupBy(*by).agg(area) if by else won.agg(area)
 
 
+def auc_interval(df: DataFrame, by: list[str], score: str, positive: Column, z: float = 1.959963984540054) -> DataFrame:
+    """(by..., auc, low, high): the area and its interval by DeLong, DeLong and Clarke-Pearson (1988), cut to 0 to 1; null with fewer than two of a class."""
+    counts = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    ranked = cumulative(counts, by, F.col(score), ["p", "n"])
+    # of each positive the negatives below it, and of each negative the positives above it, ties counting a half
+    below = F.col("n_before") + F.col("n") / 2
+    to_here = F.col("p_before") + F.col("p") / 2
+    sums = (F.sum("p").alias("ps"), F.sum("n").alias("ns"), F.sum(F.col("p") * below).alias("w"), F.sum(F.col("p") * below * below).alias("ww"), F.sum(F.col("n") * to_here).alias("u"), F.sum(F.col("n") * to_here * to_here).alias("uu"))
+    s = ranked.groupBy(*by).agg(*sums) if by else ranked.agg(*sums)
+    ps, ns, w, ww, u, uu = (F.col(c).cast("double") for c in ("ps", "ns", "w", "ww", "u", "uu"))
+    area = F.try_divide(w, ps * ns)
+    spread = F.try_divide(ww - w * w / ps, (ps - 1) * ns * ns * ps) + F.try_divide(uu - u * u / ns, (ns - 1) * ps * ps * ns)
+    error = z * F.sqrt(F.when((ps > 1) & (ns > 1), F.greatest(spread, F.lit(0.0))))
+    both = s.select(*by, area.alias("auc"), error.alias("error"))
+    return both.select(*by, "auc", F.when(F.col("error").isNotNull(), F.greatest(F.col("auc") - F.col("error"), F.lit(0.0))).alias("low"), F.when(F.col("error").isNotNull(), F.least(F.col("auc") + F.col("error"), F.lit(1.0))).alias("high"))
+
+
 def confusion(df: DataFrame, by: list[str], actual: Column, predicted: Column) -> DataFrame:
     """Counts tp, fp, fn, tn and accuracy, kappa, producers (recall) and users (precision) of the positive class."""
     counts = (F.count_if(actual & predicted).alias("tp"), F.count_if(~actual & predicted).alias("fp"), F.count_if(actual & ~predicted).alias("fn"), F.count_if(~actual & ~predicted).alias("tn"))

@@ -13,6 +13,7 @@ from geostrata.operators import incremental as I
 from geostrata.operators import pixels as P
 from geostrata.operators import recovery as V
 from geostrata.operators import spatial as S
+from geostrata.operators.scale import shared_folder
 from geostrata.plans.catalog import query
 from geostrata.plans.pixels import COMPOSITE, _composite
 from geostrata.sources.items import items
@@ -184,21 +185,6 @@ def spur_prune(spark, d):
     return L.prune_spurs(_combs(spark, d), "o").groupBy("o").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("length"))
 
 
-@query(f"""WITH {COMBS}, joints AS (SELECT o, k FROM spurs WHERE after + before = 2),
-tips AS (SELECT s.o, s.k, s.q FROM spurs s WHERE after + before = 1),
-found AS (SELECT j.o, s.q AS w FROM joints j JOIN spurs s ON s.o = j.o AND s.k = j.k UNION ALL
- SELECT a.o, 24 FROM joints a JOIN joints b ON a.o = b.o AND b.k = a.k + 1 UNION ALL
- SELECT t.o, t.q + 24 FROM tips t JOIN joints j ON j.o = t.o AND abs(j.k - t.k) = 1 UNION ALL
- SELECT a.o, a.q + 24 + b.q FROM tips a JOIN tips b ON a.o = b.o AND b.k = a.k + 1)
-SELECT o, count(*) AS n, round(sum(w), 6) AS length FROM found WHERE w >= 20 AND o IN (SELECT o FROM joints) GROUP BY o""")
-def branch_split(spark, d):
-    """Of combs with a joint; the others are one branch each."""
-    found = L.split_branches(_combs(spark, d), "o")
-    ends = _combs(spark, d).where("vy = 0").select("o", F.explode(F.array("ux", "vx")).alias("x"))
-    joined = ends.groupBy("o", "x").agg(F.count("*").alias("n")).where("n = 2").select("o").distinct()
-    return found.join(joined, "o", "left_semi").groupBy("o").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"))
-
-
 @query(f"""WITH {COMBS}, joints AS (SELECT o, k FROM spurs WHERE after + before = 2),
 tips AS (SELECT s.o, s.k, s.q FROM spurs s WHERE after + before = 1),
 found AS (SELECT j.o, s.q AS w FROM joints j JOIN spurs s ON s.o = j.o AND s.k = j.k UNION ALL
@@ -207,7 +193,7 @@ found AS (SELECT j.o, s.q AS w FROM joints j JOIN spurs s ON s.o = j.o AND s.k =
  SELECT a.o, a.q + 24 + b.q FROM tips a JOIN tips b ON a.o = b.o AND b.k = a.k + 1 UNION ALL
  SELECT o, q FROM spurs WHERE after + before = 0)
 SELECT o, count(*) AS n, round(sum(w), 6) AS length FROM found WHERE w >= 20 OR o NOT IN (SELECT o FROM joints) GROUP BY o""")
-def branch_split_all(spark, d):
+def branch_split(spark, d):
     """Of all combs; where none has a joint, each piece is a branch, whatever its length."""
     return L.split_branches(_combs(spark, d), "o").groupBy("o").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"))
 
@@ -311,9 +297,5 @@ def stream_daily_composite(spark, d):
     """A file stream run to its end; each call has its own state, in the folder that the session names."""
     schema = t(spark, d, "events").schema
     stream = composites.read_stream(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"composite_{uuid.uuid4().hex}"
-    writer = composites.daily_composite(stream, "ts", "user_id", "value", "event_id", "60 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{folder}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/composite_{uuid.uuid4().hex}"
+    return composites.run_to_table(composites.daily_composite(stream, "ts", "user_id", "value", "event_id", "60 days"), ["pixel", "day"], folder)

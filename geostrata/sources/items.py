@@ -157,3 +157,15 @@ def items(
     if order:
         df = df.orderBy(*order)
     return df if limit is None else df.limit(limit)
+
+
+def items_meeting(first: DataFrame, target: DataFrame, geometry: str, target_geometry: str, filter: str | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """The two-step request: target's items that meet the geometry of first's first row, and pass the filter.
+
+    One geometry travels, as the text of the second request's filter; no row in first gives no items.
+    """
+    found = first.select(G.wkt(F.col(geometry)).alias("text")).first()
+    if found is None or found.text is None:
+        return target.limit(0)
+    test = f"s_intersects({target_geometry}, {found.text})"
+    return items(target, filter=f"{test} AND ({filter})" if filter else test, limit=limit)

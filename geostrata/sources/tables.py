@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,11 +14,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, line_end: str | None = None, schema: str | None = None) -> DataFrame:
-    """CSV of the statistics dialect: a header, NA for null, and blanks that stay blanks."""
-    reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", "")
+    """CSV of the statistics dialect: a header, NA for null, and blanks that stay blanks in columns of text.
+
+    Spark's reader takes NA and blanks for the same, so all columns are read as text first.
+    """
+    reader = spark.read.option("header", True)
     if line_end:
         reader = reader.option("lineSep", line_end)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    kinds = reader.schema(schema) if schema else reader.option("inferSchema", True).option("nullValue", "NA")
+    fields = kinds.csv(path).schema.fields
+    text = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "")
+    text = (text.option("lineSep", line_end) if line_end else text).schema(", ".join(f"`{f.name}` string" for f in fields)).csv(path)
+
+    def column(f: StructField) -> Column:
+        own = F.col(f"`{f.name}`")
+        known = F.when(F.coalesce(own, F.lit("")) != "NA", F.coalesce(own, F.lit("")))
+        return (known if isinstance(f.dataType, StringType) else F.nullif(known, F.lit("")).cast(f.dataType)).alias(f.name)
+
+    return text.select(*map(column, fields))
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +58,9 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """Append rows whose keys the target hasn't yet, so that a repeated load changes nothing."""
+    """Append rows whose keys the target hasn't yet, one of each key, so that a repeated load changes nothing."""
+    if keys:
+        df = df.dropDuplicates(keys)
     if keys and _exists(df.sparkSession, path):
         df = df.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
     df.write.mode("append").parquet(path)
@@ -66,9 +82,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def reindex(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """These columns in this order; null where df lacks one."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+def reindex(df: DataFrame, columns: Iterable[str], kinds: dict[str, str] | None = None) -> DataFrame:
+    """These columns in this order; null where df lacks one, of the type that kinds names, or else string."""
+    kinds = kinds or {}
+    return df.select(*[(F.col(c).cast(kinds[c]) if c in kinds else F.col(c)).alias(c) if c in df.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in columns])
 
 
 def strict_drop(df: DataFrame, columns: Iterable[str]) -> DataFrame:

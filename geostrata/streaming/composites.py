@@ -39,3 +39,18 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], provi
         current(known, keys, F.col(provisional), order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_table(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run the stream to its end; each batch writes the groups that it changed, and the latest of each key is the result.
+
+    Nothing is gathered in the driver, and a batch that is run again writes its own folder again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    found = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/batches").parquet(f"{folder}/batches")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

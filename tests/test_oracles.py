@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from geostrata.plans import catalog, pixels, relational, spatial  # noqa: F401
+from geostrata.plans import catalog, formats, pixels, relational, spatial  # noqa: F401
 
 SF_DIR = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
@@ -48,5 +48,5 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_branches_of_every_order(spark, duck):
-    found = {r.o for r in catalog.QUERIES["branch_split_all"](spark, str(SF_DIR)).collect()}
+    found = {r.o for r in catalog.QUERIES["branch_split"](spark, str(SF_DIR)).collect()}
     assert found == {o for (o,) in duck.execute("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()}
