@@ -41,11 +41,11 @@ class Model:
 
 
 def dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary, or of too few pieces the pieces themselves."""
+    """A trained dictionary, or of too few pieces to train one all of them, as they are."""
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[:size]
+        return b"".join(pieces)
 
 
 class Contrast:
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Fitted on labelled rows of docs; labels has (key, label), label 1 for good and 0 for bad.
 
     A key with both labels, a null key or a null label teaches nothing; of a key's repeated rows in
-    docs one does. Without labelled rows of both classes, each text gets the classes' prior.
+    docs the one of the least text does. Without labelled rows of both classes, each text gets the classes' prior.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high").select("key", F.col("low").cast("int").alias("good"))
     chosen = None
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         chosen = part if chosen is None else chosen.union(part)
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # 2 * SAMPLE_DOCS rows of two numbers at most
-    sample = own.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("good").alias("good"), F.first("text").alias("text")).persist()
+    sample = own.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("good").alias("good"), F.min("text").alias("text")).persist()
     try:
         teaches = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(3)) > 0
         cut = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(SAMPLE_PIECE)), lambda at: F.struct(at.alias("at"), F.substr("text", at + 1, F.lit(SAMPLE_PIECE)).alias("piece"))))
