@@ -15,8 +15,6 @@ aggregations with a reliable checkpoint a round.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from geostrata.llm.common import LOWER, UPPER, checkpointed, heavy_join, read_table, slices, unused, written_and_reread
+from geostrata.llm.common import checkpointed, heavy_join, read_table, slices, unused, written_and_reread
 
 SEED = 42
 SHINGLE = 3
@@ -35,16 +33,14 @@ BLOCK = 4096
 #: Tasks that a node's links are dealt to.
 SALTS = 16
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
-
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned SimHash of the word shingles' XXH64; 0 for a text without a word."""
-    words = WORD.findall((text or "").translate(TO_LOWER))
+    # a bytes object lower-cases A-Z alone and splits at just the contract's white space
+    words = (text or "").encode().lower().split()
     if not words:
         return 0
-    shingles = map(" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
