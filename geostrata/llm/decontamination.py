@@ -31,15 +31,20 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(TO_LOWER))
+#: Of UTF-8: A-Z lower-cased, and a blank for all ASCII that is in no word.
+WORD_BYTES = bytes(0x20 if c < 0x80 and not chr(c).isalnum() else c for c in range(256)).lower()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """WORD's matches in the text with A-Z lower-cased, as UTF-8."""
+    return (text or "").encode().translate(WORD_BYTES).split()
 
 
 class Scanner:
     """The automaton over all windows of the items; made once a worker."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
