@@ -53,12 +53,13 @@ def two_step_items(spark, d):
 
 @query(f"WITH {SITES_SQL}, {ZONES_SQL} SELECT s_suppkey, n_nationkey, n_name FROM (SELECT s_suppkey, a + 0.03 AS a, b + 0.03 AS b, w, h FROM sites), (SELECT * FROM zones JOIN nation USING (n_nationkey)) WHERE {MEET_SQL}")
 def sites_by_zone_view(spark, d):
-    """A view of sites in Mercator with the zones, in degrees, that they meet."""
+    """A view of sites in Mercator with the zones, in tenths of degrees, that they meet."""
     sites, zones = _polygons(spark, d)
-    moved = F.transform("site", lambda ring: F.transform(ring, lambda p: G.mercator(p["x"] + 0.03, p["y"] + 0.03)))
+    moved = F.transform("site", lambda ring: F.transform(ring, lambda p: G.mercator((p["x"] + 0.03) / 10, (p["y"] + 0.03) / 10)))
     names = t(spark, d, "nation").select("n_nationkey", "n_name")
     shifted = sites.select("s_suppkey", *[(F.col(f"l_{c}") + 0.03).alias(f"l_{c}") for c in S.BOX], moved.alias("site"))
-    degrees = shifted.withColumn("site", G.reprojected(F.col("site"), 3857, 4326))
+    tenths = F.transform(G.reprojected(F.col("site"), 3857, 4326), lambda ring: F.transform(ring, lambda p: G.point(p["x"] * 10, p["y"] * 10)))
+    degrees = shifted.withColumn("site", tenths)
     S.polygon_join(degrees, zones.join(names, "n_nationkey"), 15.0, "site", "triangle").select("s_suppkey", "n_nationkey", "n_name").createOrReplaceTempView("sites_by_zone")
     return spark.table("sites_by_zone")
 
