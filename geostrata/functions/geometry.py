@@ -154,6 +154,11 @@ def reprojected(polygon: Column, srid: int, to: int) -> Column:
 # --- predicates and cuts, numpy
 
 
+def as_text(geometry: Column | str) -> Column:
+    """A geometry as Python functions take it: JSON. Arrow hands over nested arrays as objects, slower, and fails on a batch that has only nulls or empty ones."""
+    return F.to_json(geometry)
+
+
 def _array(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
 
@@ -204,12 +209,12 @@ def polygons_meet(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
 
 
 def _meet(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or q is None else polygons_meet(list(map(_array, p)), list(map(_array, q))) for p, q in zip(a, b, strict=True)], dtype=object)
+    return pd.Series([None if p is None or q is None else polygons_meet(list(map(_array, json.loads(p))), list(map(_array, json.loads(q)))) for p, q in zip(a, b, strict=True)], dtype=object)
 
 
 def intersects(a: Column | str, b: Column | str) -> Column:
     """Whether polygons meet; null with a null one. Apply it behind a test of bounding boxes."""
-    return F.pandas_udf(_meet, "boolean")(a, b)
+    return F.pandas_udf(_meet, "boolean")(as_text(a), as_text(b))
 
 
 def clipped_ring(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: float) -> np.ndarray:
@@ -233,7 +238,7 @@ def clipped_ring(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax:
 def _clip(polygon: pd.Series, box: pd.DataFrame) -> pd.Series:
     out = []
     for p, b in zip(polygon, box.itertuples(index=False), strict=True):
-        rings = [clipped_ring(_array(r), *b) for r in (p if p is not None else [])]
+        rings = [clipped_ring(_array(r), *b) for r in (json.loads(p) if p is not None else [])]
         rings = [r for k, r in enumerate(rings) if len(r)] if rings and len(rings[0]) else []
         out.append([[{"x": float(x), "y": float(y)} for x, y in r] for r in rings])
     return pd.Series(out)
@@ -241,7 +246,7 @@ def _clip(polygon: pd.Series, box: pd.DataFrame) -> pd.Series:
 
 def clip(polygon: Column | str, box: Column) -> Column:
     """Polygons within boxes (xmin, ymin, xmax, ymax); an empty array where nothing is left."""
-    return F.pandas_udf(_clip, POLYGON)(polygon, box)
+    return F.pandas_udf(_clip, POLYGON)(as_text(polygon), box)
 
 
 def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:
@@ -266,9 +271,9 @@ def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:
 
 def simplify(line: Column, tolerance: float) -> Column:
     def run(lines: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [{"x": float(x), "y": float(y)} for x, y in (simplified(_array(r), tolerance) if len(r) > 2 else _array(r))] for r in lines])
+        return pd.Series([None if r is None else [{"x": float(x), "y": float(y)} for x, y in (simplified(r, tolerance) if len(r) > 2 else r)] for r in (None if t is None else _array(json.loads(t)) for t in lines)])
 
-    return F.pandas_udf(run, RING)(line)
+    return F.pandas_udf(run, RING)(as_text(line))
 
 
 class PolygonCells:
