@@ -139,3 +139,53 @@ def labelled_blank(text: Column, label: str) -> Column:
 def cost_tiers(cubic_yards: Column) -> dict[str, Column]:
     """Least, middle and greatest cost to regrade a volume, by the published rates a cubic yard."""
     return {"min_cost": cubic_yards * 1.25, "mid_cost": cubic_yards * 1.875, "max_cost": cubic_yards * 2.5}
+
+
+# --- masks of pixels: null is masked
+
+
+def masked(value: Column, mask: Column) -> Column:
+    """The value where the mask is set; null where it is 0 or null."""
+    return F.when(mask != 0, value)
+
+
+def unmasked(value: Column, fill: float = 0) -> Column:
+    return F.coalesce(value, F.lit(fill))
+
+
+def inverted(mask: Column) -> Column:
+    """1 where the mask is 0, 0 where it is another number, null where it is masked."""
+    return F.when(mask == 0, 1).when(mask != 0, 0)
+
+
+def both_set(*masks: Column) -> Column:
+    """1 where all are set, 0 where one is 0; null where any is masked."""
+    found = F.lit(1)
+    for m in masks:
+        found = found * F.when(m != 0, 1).when(m == 0, 0)
+    return found
+
+
+# --- ages and bonds
+
+
+def ages(first: Column, last: Column, now: int) -> dict[str, Column]:
+    """max_age, min_age, mid_age and age_uncertainty of what was first and last seen in these years."""
+    oldest, youngest = F.lit(now) - first, F.lit(now) - last
+    return {"max_age": oldest, "min_age": youngest, "mid_age": (oldest + youngest) / 2, "age_uncertainty": (oldest - youngest) / 2}
+
+
+def full_bond(state: Column, status: Column, current: Column, available: Column, amount: Column) -> Column:
+    """The bond for all reclamation: in KY the current one once released, in VA the amount, elsewhere what is available."""
+    return F.when((state == "KY") & (status == "Released"), current).when(state == "VA", amount).otherwise(available)
+
+
+def share_of(part: Column, whole: Column) -> Column:
+    """Percent of a positive whole; null otherwise."""
+    return F.when(whole > 0, part / whole * 100)
+
+
+def parsed_codes(text: str, names: list[str], codes: dict[str, list[int]], separator: str = ",") -> list[dict]:
+    """Rows of a literal of separated lines; codes names integers made of several fields' digits, such as state and county."""
+    rows = [[v.strip() for v in line.split(separator)] for line in text.strip().splitlines()]
+    return [dict(zip(names, r, strict=False)) | {name: int("".join(r[k] for k in at)) for name, at in codes.items()} for r in rows]
