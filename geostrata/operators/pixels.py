@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators.scale import quantiles
+
 
 def quality_mosaic(df: DataFrame, keys: list[str], quality: str, tie: list[str], bands: list[str]) -> DataFrame:
     """All bands of the row with the greatest quality of each key; null quality never wins, ties by greatest tie."""
@@ -61,8 +63,8 @@ def zonal(df: DataFrame, zones: DataFrame, cell: list[str], by: list[str], *aggr
 
 
 def interval_mean(df: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
-    """(by..., threshold): mean of the values between two percentiles of their group, both included."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("low_"), F.percentile(value, F.lit(high)).alias("high_"))
+    """(by..., threshold): mean of the values between two percentiles of their group, both included; a group's values may lie in many tasks."""
+    bounds = quantiles(df, by, value, {"low_": low, "high_": high})
     return df.join(bounds, by).where(F.col(value).between(F.col("low_"), F.col("high_"))).groupBy(*by).agg(F.avg(value).alias("threshold"))
 
 
