@@ -98,3 +98,26 @@ def strict_drop(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def move_first(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, *[c for c in df.columns if c not in columns])
+
+
+def by_prefix(df: DataFrame, path: str, prefix: str, names: dict[str, int], separator: str = "_") -> DataFrame:
+    """Files whose name begins with a prefix, with fields of the rest of the name, split at a separator, by their place; null where there is none. A folder's own row is left out."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    fields = F.split(F.regexp_replace(F.substr(name, F.lit(len(prefix) + 1)), r"\.[^.]*$", ""), F.lit(f"\\Q{separator}\\E"))
+    return df.where((name != "") & name.startswith(prefix)).withColumns({n: F.get(fields, F.lit(k)) for n, k in names.items()})
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, split: str | None = None, parts: int = 16, fetch: int = 10_000, **options: str) -> DataFrame:
+    """A database's table or (query) alias; with an integer column to split by, its range is read in parts at once (its name goes in ANSI quotes)."""
+    reader = spark.read.format("jdbc").options(url=url, fetchsize=fetch, **options)
+    if split is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("dbtable", f'(SELECT MIN("{split}") AS low_, MAX("{split}") AS high_ FROM {table}) bounds_').load().first()
+    if low is None:
+        return reader.option("dbtable", table).load()
+    return reader.options(dbtable=table, partitionColumn=split, lowerBound=low, upperBound=high, numPartitions=parts).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, parts: int = 16, **options: str) -> None:
+    """df appended to a database's table, some connections at once, each row in a batch."""
+    df.coalesce(parts).write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).mode("append").save()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geostrata.functions import values as X
-from geostrata.sources import schemas, shapefile
+from geostrata.sources import schemas, shapefile, tables
 
 SHELL, HOLE, FAR = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)], [(9, 9), (9, 10), (10, 10), (9, 9)]
 
@@ -59,3 +59,17 @@ def test_values(spark):
     assert X.parsed_codes("A, 21, 013\nB,47,001", ["name", "state", "county"], {"fips": [1, 2]}) == [{"name": "A", "state": "21", "county": "013", "fips": 21013}, {"name": "B", "state": "47", "county": "001", "fips": 47001}]
     one = spark.range(1)
     assert tuple(one.select(X.saturated(250, F.lit(10), F.lit(251)), X.saturated(250, F.lit(10), F.lit(20)), X.share_of(F.lit(1.0), F.lit(0.0)), X.both_set(F.lit(1), F.lit(None).cast("int"))).first())[2:] == (None, None)
+
+
+def test_prefixes(spark):
+    df = spark.createDataFrame([("gs://b/in/",), ("gs://b/in/extent_2001_v2.tif",), ("gs://b/in/extent_2002.tif",), ("gs://b/in/other_2001_v2.tif",)], "path string")
+    found = tables.by_prefix(df, "path", "extent_", {"year": 0, "version": 1}).select("year", "version").collect()
+    assert sorted(map(tuple, found), key=str) == [("2001", "v2"), ("2002", None)]
+
+
+def test_jdbc_in_one_and_in_parts(spark):
+    url = "jdbc:derby:memory:made;create=true"
+    tables.write_jdbc(spark.range(100).selectExpr("CAST(id AS INT) AS id", "id * 0.5D AS v"), url, "things", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    one, parts = tables.read_jdbc(spark, url, "things"), tables.read_jdbc(spark, url, "things", "id", parts=4)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, parts.collect())) == [(k, k / 2) for k in range(100)]
+    assert parts.rdd.getNumPartitions() == 4
